@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the executors' Python import this package, also where it isn't installed; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        top = Path(__file__).resolve().parents[1]
+        at = tempfile.mkdtemp(prefix="trajspark-zip-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/{top.name}", "zip", top.parent, top.name))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

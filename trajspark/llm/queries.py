@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, topk
+from . import mixing, ngram_join, secrets, sharding, topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "pair")
@@ -43,6 +47,7 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_fair_mix": op7_fair_mix,
     "op10_minimax_shards": op10_minimax_shards,

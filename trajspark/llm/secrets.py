@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 # Base patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -117,6 +119,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array of (kind, start, end, value), base_count) for every row of docs."""
+    ship(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def scanned(stream):

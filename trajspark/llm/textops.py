@@ -19,6 +19,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: everything in ASCII but letters and digits separates words; bytes of other characters belong to words
+MARKS = np.ones(256, dtype=bool)
+MARKS[128:] = False
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,11 +61,11 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch: row of each (ascending), start and end byte in `bytes` (lower-cased)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, blank: np.ndarray = SPACE):
         raw, self.offsets = string_bytes(column)
         self.rows = len(self.offsets) - 1
-        self.bytes = LOWER[raw]
-        space = SPACE[raw]
+        self.raw, self.bytes = raw, LOWER[raw]
+        space = blank[raw]
         first, last = ~space, ~space
         if len(raw):
             first[1:] &= space[:-1]

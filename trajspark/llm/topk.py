@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship
+
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 512
 
@@ -105,6 +107,7 @@ def exact_top_k(
     candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product for each query, ties to the smaller id."""
+    ship(rows.sparkSession)
     q, c = quantised(queries, id_col, vec_col, scale), quantised(rows, id_col, vec_col, scale)
     n_q = max(1, -(-queries.select(id_col).count() // query_block))
     n_c = max(1, -(-rows.select(id_col).count() // candidate_block))
