@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, secrets, sharding, topk
+from . import decontam, mixing, ngram_join, secrets, sharding, topk, toxicity
 from .common import table
 
 
+def op1_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the chain calls toxic, with the probabilities of its categories."""
+    scored = toxicity.toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.label_categories()
+    )
+    return scored.where(F.col("p_toxic") >= toxicity.THRESHOLD).select("doc_id", "p_low_quality", "p_toxic")
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
@@ -18,6 +26,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "pair")
@@ -46,8 +58,10 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxic_documents": op1_toxic_documents,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_fair_mix": op7_fair_mix,
     "op10_minimax_shards": op10_minimax_shards,
