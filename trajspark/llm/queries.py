@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, ngram_join, secrets, sharding, topk, toxicity
+from . import decontam, mixing, ngram_join, secrets, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_toxic_documents": op1_toxic_documents,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_warc_boundary_chain": op4_warc_boundary_chain,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_fair_mix": op7_fair_mix,
