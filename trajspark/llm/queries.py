@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, ngram_join, secrets, sharding, topk, toxicity, warc
+from . import decontam, licenses, line_dedup, mixing, ngram_join, secrets, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -57,6 +57,25 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the number of its lines, of those that stay, and the numbers of those that go."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.dropped_lines(docs)
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    counted = docs.select("doc_id", n_lines.cast("long").alias("n_lines"))
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return counted.join(gone, counted.doc_id == gone.doc, "left").select(
+        "doc_id",
+        "n_lines",
+        (F.col("n_lines") - F.size(dropped)).alias("n_kept"),
+        F.array_join(dropped.cast("array<string>"), ",").alias("dropped_lines"),
+    )
+
+
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -70,7 +89,9 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_fair_mix": op7_fair_mix,
+    "op8_fuzzy_line_dedup": op8_fuzzy_line_dedup,
+    "op9_license_digests": op9_license_digests,
     "op10_minimax_shards": op10_minimax_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_digests": licenses.oracle_sql()}
