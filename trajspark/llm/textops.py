@@ -143,8 +143,8 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return row, gram
 
 
-def batches(column: str, stream: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text at most (a single longer text makes its own)."""
+def batches(column: str, stream: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (a single longer text makes its own)."""
     for batch in stream:
         if not batch.num_rows:
             continue
