@@ -132,8 +132,9 @@ def shard_by_bytes(
 ) -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard and slot (gapless from 0 in each shard), grown_shard (null)."""
     text = text_of(text_col)
-    own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "_key", "_chunk", "_before"]
-    keyed = docs.drop(*[c for c in own if c in docs.columns]).select(
+    own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    kept = [c for c in docs.columns if c not in own]
+    keyed = docs.select(*kept).select(
         "*", F.md5(text).alias("_key"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size")
     )
     groups = materialize(
@@ -163,5 +164,5 @@ def shard_by_bytes(
         .join(F.broadcast(offsets), ["shard", "_chunk"])
         .withColumn("slot", (F.col("_before") + F.col("_row")).cast("long"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .drop("_key", "_chunk", "_before", "_row")
+        .select(*kept, *own)
     )
