@@ -1,0 +1 @@
+"""Vehicle-trajectory analytics on Spark: kinematics, neighbours, trips, refinement, emissions and spatial maps."""
