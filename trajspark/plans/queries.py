@@ -32,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def grams(*names: str, **rounded: str) -> list[Column]:
-    return [*[F.col(n) for n in names], *[(F.round(v, 9) + 0.0).alias(k) for k, v in rounded.items()]]
+    """Masses in single precision: their decimal digits often end in ...5, where rounding would hang on the order of sums."""
+    return [*[F.col(n) for n in names], *[F.col(v).cast("float").cast("double").alias(k) for k, v in rounded.items()]]
 
 
 def cols(*names: str, **rounded: str) -> list[Column]:
@@ -447,7 +448,7 @@ def ef_match_report(spark, sf_dir):
     return emission.match_report(matched(spark, sf_dir), RATES).select(*cols("pollutant", "n_rows", "n_missing", pct_missing="pct_missing"))
 
 
-@query(with_stack("select data_type, round(n, 9) as NOx_g_total, round(p, 9) as PM25_g_total, round(c, 9) as CO_g_total from totals", _EF, _MATCH, _TOTAL))
+@query(with_stack("select data_type, cast(cast(n as real) as double) as NOx_g_total, cast(cast(p as real) as double) as PM25_g_total, cast(cast(c as real) as double) as CO_g_total from totals", _EF, _MATCH, _TOTAL))
 def emission_totals(spark, sf_dir):
     return emission.totals(matched(spark, sf_dir), RATES).select(*grams("data_type", NOx_g_total="NOx_g_total", PM25_g_total="PM25_g_total", CO_g_total="CO_g_total"))
 
@@ -457,7 +458,7 @@ def vehicle_distance(spark, sf_dir):
     return emission.distances(stack(spark, sf_dir)).select(*cols("data_type", "n_vehicles", total_distance_km="total_distance_km"))
 
 
-@query(with_stack("select data_type, round(n, 9) as NOx_g_total, round(km, 9) as total_distance_km, n_vehicles, round(case when km > 0 then n / km else 0e0 end, 9) as NOx_g_per_km, round(case when km > 0 then p / km else 0e0 end, 9) as PM25_g_per_km, round(case when km > 0 then c / km else 0e0 end, 9) as CO_g_per_km from totals", _EF, _MATCH, _TOTAL))
+@query(with_stack("select data_type, cast(cast(n as real) as double) as NOx_g_total, cast(cast(km as real) as double) as total_distance_km, n_vehicles, cast(cast(case when km > 0 then n / km else 0e0 end as real) as double) as NOx_g_per_km, cast(cast(case when km > 0 then p / km else 0e0 end as real) as double) as PM25_g_per_km, cast(cast(case when km > 0 then c / km else 0e0 end as real) as double) as CO_g_per_km from totals", _EF, _MATCH, _TOTAL))
 def emission_intensity(spark, sf_dir):
     out = emission.intensity(matched(spark, sf_dir), RATES)
     return out.select(*grams("data_type", "n_vehicles", NOx_g_total="NOx_g_total", total_distance_km="total_distance_km", NOx_g_per_km="NOx_g_per_km", PM25_g_per_km="PM25_g_per_km", CO_g_per_km="CO_g_per_km"))
@@ -471,7 +472,7 @@ bins as (select data_type, cast(floor((m - {ORIGIN}e0) / {SIZE}e0) as bigint) as
 
 
 def _spatial_rows(axis: str) -> str:
-    return f"select '{axis}' as axis, axis_bin, data_type, round(a, 9) as NOx_g, round(b, 9) as PM25_g, round(c, 9) as CO_g, {ORIGIN}e0 + axis_bin * {SIZE}e0 as bin_start_m, {ORIGIN}e0 + axis_bin * {SIZE}e0 + {SIZE / 2}e0 as bin_center_m, {ORIGIN}e0 + axis_bin * {SIZE}e0 + {SIZE}e0 as bin_end_m from bins"
+    return f"select '{axis}' as axis, axis_bin, data_type, cast(cast(a as real) as double) as NOx_g, cast(cast(b as real) as double) as PM25_g, cast(cast(c as real) as double) as CO_g, {ORIGIN}e0 + axis_bin * {SIZE}e0 as bin_start_m, {ORIGIN}e0 + axis_bin * {SIZE}e0 + {SIZE / 2}e0 as bin_center_m, {ORIGIN}e0 + axis_bin * {SIZE}e0 + {SIZE}e0 as bin_end_m from bins"
 
 
 def _spatial(df: DataFrame) -> DataFrame:
@@ -503,7 +504,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.error_pct(sums, ["NOx_g", "PM25_g", "CO_g"], schema.GT_TAGS)
 
 
-@query(with_stack("select axis_bin, data_type, gt_type, pollutant, round(value, 9) as value, round(gt_value, 9) as gt_value, round(error_pct, 4) as error_pct from errs", _EF, _MATCH, _spatial_sql("vehicle_x"), _ERROR))
+@query(with_stack("select axis_bin, data_type, gt_type, pollutant, cast(cast(value as real) as double) as value, cast(cast(gt_value as real) as double) as gt_value, round(error_pct, 4) as error_pct from errs", _EF, _MATCH, _spatial_sql("vehicle_x"), _ERROR))
 def gt_error_pct(spark, sf_dir):
     return errors(spark, sf_dir).select(*grams("axis_bin", "data_type", "gt_type", "pollutant", value="value", gt_value="gt_value"), F.round("error_pct", 4).alias("error_pct"))
 
@@ -513,7 +514,7 @@ def compare_pivot(spark, sf_dir):
     return spatial.compare_pivot(errors(spark, sf_dir), ["sumo"]).select("pollutant", "axis_bin", F.round("sumo", 4).alias("sumo"))
 
 
-@query(with_stack("select axis_bin, data_type, round(a, 9) as NOx_g from bins order by a desc, axis_bin, data_type limit 10", _EF, _MATCH, _spatial_sql("vehicle_x")))
+@query(with_stack("select axis_bin, data_type, cast(cast(a as real) as double) as NOx_g from bins order by a desc, axis_bin, data_type limit 10", _EF, _MATCH, _spatial_sql("vehicle_x")))
 def top_emitters_topk(spark, sf_dir):
     sums = spatial.spatial_by_bin(matched(spark, sf_dir), "vehicle_x", RATES, SIZE, ORIGIN)
     return spatial.top_cells(sums, "NOx_g", 10).select(*grams("axis_bin", "data_type", NOx_g="NOx_g"))
