@@ -6,11 +6,14 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SF, same_rows
+from compare import same_rows
 
 from trajspark.plans.queries import ORACLE_SQL, QUERIES
 
 
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
