@@ -39,7 +39,7 @@ from .textops import U64, Words, batches, mix, shingles
 
 PARTS = 32
 FREQUENT = 1 << 18
-UNIT = 1_000_000  # shingles held by a task before they are written out
+UNIT = 500_000  # shingles held by a task before they are written out
 PER_BUCKET = 500_000
 LEAST_BUCKETS = 128
 

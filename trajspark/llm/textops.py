@@ -1,7 +1,7 @@
 """Whole-batch tokenising with numpy: word boundaries and 64-bit hashes of words for a column of Arrow strings.
 
 Words are runs of bytes other than ASCII white space (0x20, 0x09-0x0D); A-Z is lower-cased, other letters are left as
-they are. Nothing is cut: a batch is worked through in pieces of about a megabyte that end at word boundaries.
+they are. Nothing is cut: a batch is worked through in pieces of about a quarter of a megabyte that end at word boundaries.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -143,7 +143,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return row, gram
 
 
-def batches(column: str, stream: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(column: str, stream: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (a single longer text makes its own)."""
     for batch in stream:
         if not batch.num_rows:
