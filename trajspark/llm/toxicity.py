@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,9 +167,9 @@ def train(
     def fitted(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         ids = rows.column("id").to_numpy()
-        slots = rows.column("slots").to_pylist()
-        row = np.repeat(np.arange(len(ids)), [len(s) for s in slots])
-        slot = np.concatenate([np.asarray(s, np.int64) for s in slots]) if slots else np.zeros(0, np.int64)
+        slots = pa.concat_arrays(rows.column("slots").chunks or [pa.array([], pa.list_(pa.int32()))])
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+        slot = slots.flatten().to_numpy().astype(np.int64)
         y = np.column_stack([rows.column(c).to_numpy() for c in names])
         fold = (mix(ids.astype(np.int64).view(U64)) % U64(FOLDS)).astype(int)
         models = fit_chain(row, slot, y, fold)
