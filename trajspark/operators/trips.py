@@ -41,14 +41,19 @@ def trip_segments(df: DataFrame, eps: float = 0.0) -> DataFrame:
 def number_trips(df: DataFrame) -> DataFrame:
     """trip_id: dense number of (vehicle, segment) over all vehicles in order of the id's text, from 1.
 
-    Segments are counted for each vehicle first, so that the order over vehicles is taken over one row for each.
+    Segments are counted for each vehicle, vehicles for each beginning of an id (which keeps their order), and only the
+    beginnings are numbered in one window.
     """
     trips = df.select(VID, "segment").distinct()
     own = trips.withColumn("_own", F.row_number().over(Window.partitionBy(VID).orderBy("segment")))
-    counts = trips.groupBy(VID).count()
-    offsets = counts.withColumn(
-        "_off", F.sum("count").over(Window.orderBy(VID).rowsBetween(Window.unboundedPreceding, -1))
-    ).select(VID, F.coalesce("_off", F.lit(0)).alias("_off"))
+    head = F.substring(VID, 1, 4)
+    counts = trips.groupBy(VID).count().withColumn("_head", head)
+    heads = counts.groupBy("_head").agg(F.sum("count").alias("_n"))
+    earlier = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("_head", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_head").orderBy(VID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_in", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(heads, "_head")
+    offsets = offsets.select(VID, (F.col("_before") + F.col("_in")).alias("_off"))
     ids = own.join(offsets, VID).select(VID, "segment", (F.col("_off") + F.col("_own")).cast("long").alias("trip_id"))
     return df.join(ids, [VID, "segment"])
 
