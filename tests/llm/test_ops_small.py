@@ -260,6 +260,21 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(12)}
 
 
+def test_decontamination_by_passage(spark):
+    q = "A train leaves Paris for Lyon at 14 km per hour and another of 14 km leaves Lyon after 3 hours, when do they meet Anna"
+    first, second = q.replace("14", "15").replace("Lyon", "Nice"), q.replace("14", "16").replace("Lyon", "Bern")
+    same = q.replace("14", "4").replace("3", "4")
+    chance = "and another of 99 km leaves Oslo after 3"
+    rows = [
+        (1, f"Look, {q}. Then {first}.", "a"), (2, f"Look, {first}. Then {second}.", "a"), (3, f"Look, {chance} more. But {first}.", "a"),
+        (4, f"Look, {same}.", "a"), (5, "Look, " + first.replace("another", "then another"), "a"),
+        (6, "Look, " + q.replace("14 km per", "15 km per").replace("Lyon at", "Nice at") + ".", "a"), (7, chance, "a"),
+    ]
+    got = decontam.find_contaminated(docs_of(spark, rows), spark.createDataFrame([(1, q)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5]
+    assert next(r.n_changed for r in got if r.doc_id == 1) == 0 and all(r.n_changed > 0 for r in got if r.doc_id > 1)
+
+
 # ---- secrets
 
 SECRET_TEXTS = [

@@ -2,10 +2,10 @@
 
 Texts become sequences of canonical tokens: words in lower case, numbers (with their decimal and thousands marks) as
 <number>, a unit after a number as <unit>, a capitalised word inside a sentence as <name>. Windows of `width` tokens are
-hashed and joined with the windows of the benchmark items. For each document and item, what stands in the placeholders
-of matching windows is compared along the alignment: a value of the item must always meet the same value in the
-document, and different values different ones (of one kind). So a question with new numbers and names is found, and a
-chance agreement of templates with jumbled slots is not.
+hashed and joined with the windows of the benchmark items. Matching windows of one alignment (place in the document less
+place in the item) are one passage, and what stands in its placeholders is compared: a value of the item must always meet
+the same value in the passage. So a question with new numbers and names is found wherever it stands and however often,
+and a chance agreement of templates with jumbled slots is not.
 
 The benchmark's windows are broadcast in blocks of BLOCK windows at most, each block against all documents (as the
 stated query set); documents are scanned once for each block and never shuffled. Matches of one document and item are
@@ -133,8 +133,8 @@ class Index:
         self.sizes = np.unique(self.size).tolist()
 
 
-def matches(index: Index, docs: Templates) -> list[tuple[int, int, int, int, int, bool]]:
-    """(row, item, matched windows of the item, slots, slots with a new value, consistent)."""
+def matches(index: Index, docs: Templates, coverage: float) -> list[tuple[int, int, int, int, int, bool]]:
+    """(row, item, matched windows of the item, slots, slots with a new value, whether these are enough)."""
     hit_doc, hit_ref = [], []
     for w in index.sizes:
         at, h = docs.windows(w)
@@ -150,33 +150,72 @@ def matches(index: Index, docs: Templates) -> list[tuple[int, int, int, int, int
     if not hit_doc:
         return []
     at, ref = np.concatenate(hit_doc), np.concatenate(hit_ref)
-    row, item = docs.row[at], index.item[ref]
-    order = np.lexsort((at, item, row))
-    at, ref, row, item = at[order], ref[order], row[order], item[order]
+    row, item, shift = docs.row[at], index.item[ref], at - index.at[ref]
+    order = np.lexsort((at, shift, item, row))
+    at, ref, row, item, shift = (x[order] for x in (at, ref, row, item, shift))
+    changed = np.zeros(len(at), bool)
+    for k in range(max(index.sizes)):
+        within = np.flatnonzero(index.size[ref] > k)
+        changed[within] |= index.value[index.at[ref[within]] + k] != docs.value[at[within] + k]
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
     out = []
     for i, j in zip(new, [*new[1:], len(row)], strict=True):
-        found = len(np.unique(index.at[ref[i:j]]))
-        # pairs of aligned places: token of the item, token of the document
-        places = np.concatenate([np.column_stack([index.at[r] + np.arange(index.size[r]), a + np.arange(index.size[r])])
-                                 for a, r in zip(at[i:j], ref[i:j], strict=True)
-                                 if (index.kind[index.at[r] : index.at[r] + index.size[r]] != LITERAL).any()]
-                                or [np.zeros((0, 2), np.int64)])
-        places = np.unique(places, axis=0)
-        places = places[index.kind[places[:, 0]] != LITERAL]
-        forth: dict[tuple[int, int], set[int]] = {}
-        back: dict[tuple[int, int], set[int]] = {}
-        changed = 0
-        for p, q in places.tolist():
-            kind, x, y = int(index.kind[p]), int(index.value[p]), int(docs.value[q])
-            forth.setdefault((kind, x), set()).add(y)
-            back.setdefault((kind, y), set()).add(x)
-            changed += x != y
-        one_to_one = all(len(s) == 1 for s in [*forth.values(), *back.values()])
-        out.append((int(row[i]), int(item[i]), found, len(places), changed, one_to_one))
+        pair = _best(index, docs, index.at[ref[i:j]], index.size[ref[i:j]], shift[i:j], changed[i:j], int(index.windows[item[i]]), coverage)
+        out.append((int(row[i]), int(item[i]), *pair))
     return out
 
 
+def _slots(index: Index, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The item's tokens in these windows that are placeholders."""
+    covered = np.unique(np.concatenate([s + np.arange(n) for s, n in {*zip(start.tolist(), size.tolist(), strict=True)}]))
+    return covered[index.kind[covered] != LITERAL]
+
+
+def _best(index: Index, docs: Templates, start, size, shift, changed, windows: int, coverage: float) -> tuple[int, int, int, bool]:
+    """(matched windows, slots, changed slots, enough) of one document and item, from hits in order of alignment.
+
+    Hits of one alignment (place in the document less place in the item) are one passage. Passages without a new value
+    count together. A passage with new values counts if each value of the item meets one value there; passages that
+    agree on the new values, as those around an inserted word do, count together.
+    """
+    edge = np.flatnonzero(np.concatenate([[True], shift[1:] != shift[:-1]]))
+    altered = np.repeat(np.logical_or.reduceat(changed, edge), np.diff([*edge, len(shift)]))
+    exact = np.unique(start[~altered])
+    best = (0, 0, 0, False)
+    if len(exact):
+        slots = _slots(index, start[~altered], size[~altered])
+        best = (len(exact), len(slots), 0, len(exact) >= coverage * windows)
+    if best[3] or not altered.any():
+        return best
+    passages = []
+    for i, j in zip(edge, [*edge[1:], len(shift)], strict=True):
+        if not altered[i]:
+            continue
+        places = _slots(index, start[i:j], size[i:j])
+        pairs = list(zip(index.value[places].tolist(), docs.value[places + shift[i]].tolist(), strict=True))
+        new = dict(pairs)
+        if all(new[x] == y for x, y in pairs):
+            passages.append((set(start[i:j].tolist()), new, set(places.tolist())))
+    kept: list[tuple[set, dict, set]] = []
+    for own in sorted(passages, key=lambda p: -len(p[0])):
+        for starts, values, places in kept:
+            if all(values.get(x, y) == y for x, y in own[1].items()):
+                starts |= own[0]
+                values.update(own[1])
+                places |= own[2]
+                break
+        else:
+            starts, values, places = own
+            kept.append(own)
+        together = len(starts | set(exact.tolist()))
+        if together > best[0]:
+            n_changed = sum(values[x] != x for x in index.value[sorted(places)].tolist())
+            best = (together, len(places), n_changed, together >= coverage * windows)
+        if best[3]:
+            break
+    return best
+
+
 def find_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -189,8 +228,8 @@ def find_contaminated(
 ) -> DataFrame:
     """(id, item_id, n_matched, n_windows, coverage, n_slots, n_changed): documents that hold an item's wording.
 
-    A row for each document and item of which at least `coverage` of the item's windows stand in the document, with
-    consistent slots.
+    A row for each document and item of which at least `coverage` of the item's windows stand in passages of the document
+    that agree on the slots.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -203,13 +242,13 @@ def find_contaminated(
     chars = items.select(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK))  # a window begins at a character, so a block has about BLOCK windows at most
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = f"`{id_col}` {kind}, item_id long, n_matched long, n_windows long, n_slots long, n_changed long, consistent boolean"
+    columns = f"`{id_col}` {kind}, item_id long, n_matched long, n_windows long, n_slots long, n_changed long, enough boolean"
     parts = []
     for b in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         if held:
             block = spark.sparkContext.broadcast(([r.item_id for r in held], [r.text for r in held]))
-            parts.append(docs.select(id_col, text_col).mapInArrow(_matcher(block, width, text_col), columns))
+            parts.append(docs.select(id_col, text_col).mapInArrow(_matcher(block, width, coverage, text_col), columns))
     if not parts:
         return docs.sparkSession.createDataFrame(
             [], f"`{id_col}` {kind}, item_id long, n_matched long, n_windows long, coverage double, n_slots long, n_changed long"
@@ -219,16 +258,16 @@ def find_contaminated(
         found = found.unionByName(p)
     share = F.col("n_matched") / F.col("n_windows")
     return (
-        found.where(F.col("consistent") & (share >= coverage))
+        found.where("enough")
         .select(id_col, "item_id", "n_matched", "n_windows", share.alias("coverage"), "n_slots", "n_changed")
     )
 
 
-def _matcher(block, width: int, text_col: str):
+def _matcher(block, width: int, coverage: float, text_col: str):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*block.value, width)
         for batch in batches(text_col, stream):
-            found = matches(index, Templates(batch.column(1)))
+            found = matches(index, Templates(batch.column(1)), coverage)
             rows = [f[0] for f in found]
             items = [f[1] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -240,7 +279,7 @@ def _matcher(block, width: int, text_col: str):
                     *[pa.array([f[k] for f in found], pa.int64()) for k in (3, 4)],
                     pa.array([f[5] for f in found], pa.bool_()),
                 ],
-                [batch.schema.names[0], "item_id", "n_matched", "n_windows", "n_slots", "n_changed", "consistent"],
+                [batch.schema.names[0], "item_id", "n_matched", "n_windows", "n_slots", "n_changed", "enough"],
             )
 
     return run
