@@ -275,6 +275,21 @@ def test_decontamination_by_passage(spark):
     assert next(r.n_changed for r in got if r.doc_id == 1) == 0 and all(r.n_changed > 0 for r in got if r.doc_id > 1)
 
 
+def test_decontamination_of_exact_wording(spark):
+    q = "Which planet did Anna see from Oslo, when Bert and Carl were in Rome? The answer is Mars, as Dora told Emil in Bonn."
+    names = "Anna Bert 3 4 Carl Dora 7 Emil met Oslo 12 Bonn"
+    long = letters(80, 31)
+    items = [(1, q), (2, names), (3, "Which planet is largest of all"), (4, " ".join(long))]
+    rows = [
+        (1, "Aside. " + q.upper(), "a"), (2, "aside. " + q.lower(), "a"), (3, "Question: " + q.replace(" ", "\n"), "a"), (4, "So: " + names, "a"),
+        (5, "Question: Which planet is largest of all", "a"), (6, " ".join(letters(50, 32) + long[30:55] + letters(50, 33)), "a"),
+        (7, "aside. " + q.upper().replace("ANNA", "GRETA").replace("OSLO", "KYOTO"), "a"), (8, " ".join(letters(200, 34)), "a"),
+        (9, " ".join(letters(50, 35) + long[30:42] + letters(50, 36)), "a"),
+    ]
+    got = decontam.find_contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4), (7, 1)]
+
+
 # ---- secrets
 
 SECRET_TEXTS = [
