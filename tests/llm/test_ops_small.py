@@ -421,6 +421,24 @@ def test_lines_with_planted_variants(spark):
     assert sum(v != k for k, v in got.items()) >= 5
 
 
+def test_recall_of_near_lines(spark):
+    """Of pairs of lines with one altered word, by words a line."""
+    rows, sizes, rng = [], {}, np.random.default_rng(5)
+    for size in (5, 10, 20, 50, 150):
+        for _ in range(60):
+            base = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(size)]
+            near = [*base]
+            near[int(rng.integers(0, size))] += "x"
+            sizes[len(rows) + 1] = size
+            rows += [(len(rows), " ".join(base), "a"), (len(rows) + 1, " ".join(near), "a")]
+    lines, kept = line_dedup.line_groups(docs_of(spark, rows))
+    got = {r.doc: r.kept.doc for r in lines.join(kept, ["h", "g"]).collect()}
+    assert all(v in (k, k - 1) and (v == k or k % 2) for k, v in got.items())
+    found = collections.Counter(sizes[k] for k, v in got.items() if v != k)
+    print({n: found[n] / 60 for n in (5, 10, 20, 50, 150)})
+    assert found[10] >= 48 and found[20] >= 56 and found[50] == found[150] == 60
+
+
 # ---- licences
 
 
