@@ -192,3 +192,11 @@ def test_infeasible_programme_gives_nothing():
     v = np.array([0.0, 30.0, 0.0, 30.0, 0.0])
     assert refine.stage_one(np.array([50.0, 0.0]), refine.Limits(steps=500)) is None
     assert refine.stage_one(v, refine.Limits()) is not None
+
+
+def test_paths_without_entry_lane(spark):
+    columns = "lane_id string, next_lane_id string"
+    ring = frame(spark, [("a", "b"), ("b", "c"), ("c", "a")], columns)
+    assert {tuple(r.path) for r in topology.lane_paths(ring).collect()} == {("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b")}
+    exits = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "x")], columns)
+    assert {tuple(r.path) for r in topology.lane_paths(exits).collect()} == {("b", "c", "a"), ("b", "x"), ("x",)}

@@ -70,13 +70,19 @@ def lane_candidates(links: DataFrame, lengths: DataFrame, hops: int = 2) -> Data
 
 
 def lane_paths(links: DataFrame, max_length: int = 200) -> DataFrame:
-    """(path array<string>) from lanes without predecessor to lanes without successor, or to where a lane would repeat."""
+    """(path array<string>) from lanes without predecessor to lanes without successor, or to where a lane would repeat.
+
+    Without such a first lane paths start at lanes that aren't one-in-one-out, and if all are, at every lane.
+    """
     edges = links.where("next_lane_id is not null").select("lane_id", "next_lane_id").distinct()
+    rank = F.expr("case when n_in = 0 then 0 when n_in <> 1 or n_out <> 1 then 1 else 2 end")
+    ranks = degrees(edges).select("lane_id", rank.alias("rank"))
+    starts = ranks.join(F.broadcast(ranks.agg(F.min("rank").alias("rank"))), "rank").select("lane_id")
     return edges.sparkSession.sql(
         f"""
         with recursive walk(path, lane, step) max recursion level {max_length} as (
             select array(s.lane_id), s.lane_id, 1
-            from (select distinct lane_id from {{edges}}) s left anti join {{edges}} e on s.lane_id = e.next_lane_id
+            from {{starts}} s
             union all
             select /*+ broadcast(e) */ concat(w.path, array(e.next_lane_id)), e.next_lane_id, w.step + 1
             from walk w join {{edges}} e on w.lane = e.lane_id
@@ -87,6 +93,7 @@ def lane_paths(links: DataFrame, max_length: int = 200) -> DataFrame:
             select 1 from {{edges}} e where e.lane_id = w.lane and not array_contains(w.path, e.next_lane_id))
         """,
         edges=edges,
+        starts=starts,
     )
 
 
