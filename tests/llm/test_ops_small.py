@@ -453,6 +453,16 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs_of(spark, [])).collect() == []
 
 
+def test_whole_and_untitled_licenses(spark):
+    body = lambda name: licenses.LICENSES[name].partition("\n\n")[2]
+    long = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = ["The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + body("MIT"), *map(body, ("BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib"))]
+    texts += [licenses.LICENSES[k].upper() for k in long]
+    rows = licenses.find_licenses(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])).where("scope = 'text'").collect()
+    assert {r.doc_id: r.license_id.split(" ")[0] for r in rows} == dict(enumerate(["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", *long]))
+    assert len(rows) == len(texts)
+
+
 # ---- sharding
 
 

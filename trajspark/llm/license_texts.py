@@ -1,5 +1,7 @@
 """Texts of known licences and notices (public texts), and spellings that count as equal."""
 
+from pathlib import Path
+
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense",
     "organisation": "organization", "organisations": "organizations", "recognised": "recognized", "favour": "favor",
@@ -127,3 +129,29 @@ You should have received a copy of the GNU General Public License along with thi
     "CC-BY-SA-4.0 (notice)": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0 (notice)": "Released into the public domain under CC0 1.0.",
 }
+
+# The same texts under other usual titles, and without a title.
+_TITLES = {
+    "MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)"],
+    "ISC": ["The ISC License"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Zlib": ["The zlib License", "zlib/libpng License"],
+}
+for _id, _titles in _TITLES.items():
+    _body = LICENSES[_id].partition("\n\n")[2]
+    LICENSES[f"{_id} (body)"] = _body
+    LICENSES |= {f"{_id} ({_title})": f"{_title}\n\n{_body}" for _title in _titles}
+LICENSES["MIT-0 (body)"] = LICENSES["MIT-0"].partition("\n\n")[2]
+
+# Long texts: whole, and up to the end of their terms, without the appendix on how to apply them.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0",
+}
+for _id, _file in _FILES.items():
+    LICENSES[_id] = (Path(__file__).parent / "license_data" / f"{_file}.txt").read_text(encoding="utf-8")
+    _terms, _end, _ = LICENSES[_id].partition("END OF TERMS AND CONDITIONS")
+    if _end:
+        LICENSES[f"{_id} (terms)"] = _terms + _end
