@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,22 +422,45 @@ def test_lines_with_planted_variants(spark):
     assert sum(v != k for k, v in got.items()) >= 5
 
 
-def test_recall_of_near_lines(spark):
-    """Of pairs of lines with one altered word, by words a line."""
-    rows, sizes, rng = [], {}, np.random.default_rng(5)
-    for size in (5, 10, 20, 50, 150):
-        for _ in range(60):
-            base = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(size)]
+def changed_lines(rng, sizes=(4, 6, 10, 20, 40), each=70):
+    """(words, line, the line with some words replaced, put in, taken out or misspelt)."""
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, rng.integers(3, 10)))
+    for size in sizes:
+        for _ in range(each):
+            base = [word() for _ in range(size)]
             near = [*base]
-            near[int(rng.integers(0, size))] += "x"
-            sizes[len(rows) + 1] = size
-            rows += [(len(rows), " ".join(base), "a"), (len(rows) + 1, " ".join(near), "a")]
+            for _ in range(int(rng.integers(1, max(2, size // 5 + 1)))):
+                at = int(rng.integers(0, len(near)))
+                near[at : at + 1] = [[word()], [near[at], word()], [], [near[at] + "x"]][int(rng.integers(0, 4))]
+            if near:
+                yield size, " ".join(base), " ".join(near)
+
+
+def test_recall_of_near_lines(spark):
+    """Groups against the edit similarity of all pairs, by words a line and band of similarity."""
+    import duckdb
+
+    pairs = list(changed_lines(np.random.default_rng(5)))
+    rows = [(k, line, "a") for k, line in enumerate(line for _, a, b in pairs for line in (a, b))]
     lines, kept = line_dedup.line_groups(docs_of(spark, rows))
     got = {r.doc: r.kept.doc for r in lines.join(kept, ["h", "g"]).collect()}
-    assert all(v in (k, k - 1) and (v == k or k % 2) for k, v in got.items())
-    found = collections.Counter(sizes[k] for k, v in got.items() if v != k)
-    print({n: found[n] / 60 for n in (5, 10, 20, 50, 150)})
-    assert found[10] >= 48 and found[20] >= 56 and found[50] == found[150] == 60
+    forms = pd.DataFrame([r[:2] for r in rows], columns=["i", "t"])  # noqa: F841
+    near = duckdb.sql(
+        """select a.i, b.i as j, 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) as s from forms a join forms b
+        on a.i < b.i and least(length(a.t), length(b.t)) >= 0.8 * greatest(length(a.t), length(b.t)) where s >= 0.8"""
+    ).fetchall()
+    assert len(near) > 250 and all(j == i + 1 and i % 2 == 0 for i, j, _ in near)
+    assert {(v, k) for k, v in got.items() if v != k} <= {(i, j) for i, j, _ in near}  # no false link
+    found, there = collections.Counter(), collections.Counter()
+    for i, j, s in near:
+        at = (pairs[i // 2][0], 95 if s > 0.95 else 90 if s > 0.9 else 80)
+        there[at] += 1
+        found[at] += got[j] == i
+    share = {at: round(found[at] / n, 2) for at, n in sorted(there.items())}
+    print(share, dict(there))
+    for band in (80, 90, 95):
+        of = [at for at in there if at[0] >= 10 and at[1] == band]
+        assert sum(found[at] for at in of) >= 0.9 * sum(there[at] for at in of), (band, share)
 
 
 # ---- licences

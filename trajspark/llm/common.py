@@ -102,5 +102,13 @@ def clash_free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
