@@ -356,11 +356,41 @@ def test_mix_targets_and_taken(spark):
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert all(abs(taken[s] - target[s]) <= len(order) + 1 for s in order) and sum(taken.values()) == sum(sizes.values())
     times = [r.finish_time for r in got if r.finish_time is not None]
     assert times == sorted(times)
     assert sorted(map(tuple, mixing.fair_queue(docs_of(spark, rows).repartition(7)).collect()), key=str) == sorted(map(tuple, got), key=str)
-    assert mixing.fair_queue(docs_of(spark, [])).collect() == []
+    assert mixing.fair_queue(docs_of(spark, [])).collect() == [] and mixing.mix_documents(docs_of(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(("few", "packets", "ranges"), [(10, 5, 4), (50_000, 18, 4096)])
+def test_mix_like_a_brute_force_queue(spark, monkeypatch, few, packets, ranges):
+    """Every packet of every pass in one sorted list, cut at the budget; long documents, repeats, null sources and texts."""
+    for name, value in (("FEW", few), ("PACKETS", packets), ("RANGES", ranges)):
+        monkeypatch.setattr(mixing, name, value)
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(words(int(rng.integers(0, 40)), k)) or None, ["a", "b", "c", None][int(rng.integers(0, 10)) // 3]) for k in range(300)]
+    rows += [(900, " ".join(words(900, 9)), "c"), (901, " ".join(words(500, 10)), None), rows[3], rows[3], (None, "no id", "b")]
+    got = mixing.fair_queue(docs_of(spark, rows)).collect()
+    budget = sum(r.size for r in got)
+    packet, queue = max(1, budget >> packets), []
+    for n, r in enumerate(got):
+        for lap in range(3):
+            for at in range(0, r.size, packet):
+                end = lap * r.source_size + r.before + min(r.size, at + packet)
+                queue.append((end / r.target, r.source is None, r.source or "", end, min(packet, r.size - at), n))
+    left, taken = budget, collections.Counter()
+    for *_, size, n in sorted(queue):
+        taken[n] += min(size, left)
+        left -= min(size, left)
+    assert left == 0 and [r.taken for r in got] == [taken[n] for n in range(len(got))]
+
+
+def test_mixed_corpus_with_clashing_columns(spark):
+    docs = docs_of(spark, [(1, "a b", "x"), (1, "a b", "x"), (2, "c", "y"), (3, None, None)])
+    docs = docs.withColumns({k: F.lit("own") for k in ("_id", "_source", "_digest", "_times", "_lap", "target", "size")})
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and all(r._id == r.target == "own" for r in out.collect())
 
 
 def test_mixed_corpus_repeats_documents(spark):
