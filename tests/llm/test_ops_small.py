@@ -185,13 +185,14 @@ def test_later_models_see_out_of_fold_predictions():
 # ---- top-k
 
 
-def test_top_k_like_brute_force(spark):
+def test_top_k_like_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 0.3, (230, 8)).astype(np.float32)
     v[40:60] = v[3]
     rows = [(i, [float(x) for x in v[i]]) for i in range(230)] + [(230, None), (231, [1.0, None]), (232, [float("nan")]), (233, [float("inf")] * 8), (None, [1.0] * 8), (7, [float(x) for x in v[7]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = topk.exact_top_k(df.where("vec_id % 20 = 0"), df, 10, query_block=4, candidate_block=30).collect()
+    monkeypatch.setattr(topk.score_block, "__defaults__", (7,))  # several slices a block
+    got = topk.exact_top_k(df.where("vec_id % 20 = 0"), df, 10, query_block=4, candidate_block=60).collect()
     m = np.floor(1024 * v.astype(float)).astype(np.int64)
     by = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
@@ -229,6 +230,27 @@ def test_warc_with_magic_in_payloads(spark):
     assert warc.archive_pages(pages.limit(0)).collect() == []
 
 
+def test_warc_when_reads_are_split_otherwise(spark, monkeypatch):
+    """The second read of texts that look like records inside payloads finds them wherever the splits are."""
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    htmls = [f"{k}" * 50 + fake * (k % 4) + "z" * (k * 7) for k in range(60)]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn("url", F.lit("http://x/"))
+    path, reads, plain = common.new_path(spark, "warc"), [], warc._pieces
+    warc.write_warc(pages.coalesce(2), path)
+
+    def pieces(session, at):
+        reads.append(1)
+        session.conf.set("spark.sql.files.maxPartitionBytes", "3000" if len(reads) > 1 else "100000")
+        return plain(session, at)
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    try:
+        got = {r.page_id: bytes(r.payload) for r in warc.read_warc(spark, path, payload=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(reads) == 2 and got == {k: h.encode() for k, h in enumerate(htmls)}
+
+
 # ---- decontamination
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,15 +12,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ids up to this many are small enough to broadcast (8 bytes each, so 8 MB); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: bytes of a table (rows times the width that its columns have, as Spark reckons it) that may be broadcast
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is configured."""
+    """The folder that driver and executors share; a temporary one of our own only on a local master without one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="trajspark-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -51,13 +54,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes materialised tables that nothing reads any more."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within limit, else df itself. df should be materialised."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows are within limit, else df itself. df should be materialised.
+
+    A row's width is 8 bytes more than its columns' default widths; strings count as 64 bytes, as digests and paths have.
+    """
+    width = 8 + sum(64 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
+    rows = limit // width
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

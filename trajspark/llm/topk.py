@@ -2,9 +2,10 @@
 
 Vectors are turned into integers. Queries and candidates are dealt into blocks by a hash of their id, and every pair
 of a query block with a candidate block is one bounded group of a Spark shuffle. Inside a group the query block is
-inverted into postings (component -> queries with a non-zero weight); each posting list is scattered, weighted with the
-candidates' component, into a dense score array. A partition selection keeps the k best of each query and block, and
-the blocks' survivors are merged by a window.
+inverted into postings (component -> queries with a non-zero weight), and the candidates are worked through in slices:
+each posting list is scattered, weighted with the slice's component, into a dense score array, from which a partition
+selection keeps the k best of each query so far. So a block gives k survivors a query however many slices it has, and a
+window merges the blocks' survivors.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, take no part, nor do rows without
 an id. Missing components of a shorter vector count as zero; an empty vector scores zero with everything. Of rows that
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 512
+CANDIDATE_BLOCK = 8192
+SLICE = 512
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -59,7 +61,7 @@ def _dense(vecs: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def score_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def score_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, size: int = SLICE) -> pd.DataFrame:
     """The k best rows of a block for each query of a block: score descending, then id ascending."""
     empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
     if queries.empty or rows.empty:
@@ -67,33 +69,38 @@ def score_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFra
     qid, q = _matrix(queries)
     vid, v = _matrix(rows)
     width = max((len(x) for x in [*q, *v]), default=0)
-    qs, terms = _dense(q, width), np.ascontiguousarray(_dense(v, width).T)
-    scores = np.zeros((len(qid), len(vid)), dtype=np.int64)
-    for term in range(width):
-        posting = np.flatnonzero(qs[:, term])
-        if len(posting):
-            scores[posting] += qs[posting, term, None] * terms[term]
-    own = np.searchsorted(vid, qid)
-    out_q, out_v, out_s = [], [], []
-    for i, row in enumerate(scores):
-        left = np.arange(len(vid))
-        if own[i] < len(vid) and vid[own[i]] == qid[i]:
-            left = np.delete(left, own[i])
-        s = row[left]
-        if len(s) > k:
-            bound = np.partition(s, len(s) - k)[len(s) - k]
-            over = np.flatnonzero(s > bound)
-            ties = np.flatnonzero(s == bound)[: k - len(over)]
-            pick = np.concatenate([over, ties])
-            left, s = left[pick], s[pick]
-        out_q.append(np.full(len(s), qid[i]))
-        out_v.append(vid[left])
-        out_s.append(s)
-    if not out_q:
-        return empty
-    return pd.DataFrame(
-        {"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}
-    )
+    qs = _dense(q, width)
+    postings = [np.flatnonzero(qs[:, term]) for term in range(width)]
+    best_id, best = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0), np.int64)
+    for at in range(0, len(vid), size):
+        ids, terms = vid[at : at + size], np.ascontiguousarray(_dense(v[at : at + size], width).T)
+        scores = np.zeros((len(qid), len(ids)), dtype=np.int64)
+        for term, posting in enumerate(postings):
+            if len(posting):
+                scores[posting] += qs[posting, term, None] * terms[term]
+        own = ids[np.minimum(np.searchsorted(ids, qid), len(ids) - 1)] == qid
+        best_id, best = _merged(best_id, best, ids, scores, np.where(own, qid, -1), own, k)
+    keep = best > NONE
+    return pd.DataFrame({"query_id": np.repeat(qid, keep.sum(axis=1)), "vec_id": best_id[keep], "score": best[keep]})
+
+
+#: below every score
+NONE = np.iinfo(np.int64).min
+
+
+def _merged(best_id, best, ids, scores, own_id, own, k):
+    """The k best of those known and a slice: ids ascend from slice to slice, so of equal scores the earlier ones stay."""
+    scores[own, np.searchsorted(ids, own_id[own])] = NONE
+    both = np.concatenate([best, scores], axis=1)
+    all_ids = np.concatenate([best_id, np.broadcast_to(ids, scores.shape)], axis=1)
+    if both.shape[1] <= k:
+        return all_ids, both
+    bound = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+    over = both > bound[:, None]
+    ties = both == bound[:, None]
+    room = k - over.sum(axis=1)
+    pick = over | ties & (np.cumsum(ties, axis=1) <= room[:, None])
+    return all_ids[pick].reshape(len(both), k), both[pick].reshape(len(both), k)
 
 
 def exact_top_k(

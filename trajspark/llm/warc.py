@@ -226,10 +226,14 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     upto = Window.partitionBy("file").orderBy("offset")
     parts = parts.withColumn("owner", F.last("owner", ignorenulls=True).over(upto)).where("owner is not null")
     parts = materialize(parts, "parts")
-    missing = parts.where("value is null").select("file", "split", "place")
-    texts = _pieces(spark, path).withColumnRenamed("value", "again").join(missing, ["file", "split", "place"])
-    full = parts.join(texts, ["file", "split", "place"], "left").select(
-        "file", "owner", "offset", F.coalesce("value", "again").alias("value")
+    # texts that weren't kept are read once more, by their place in the file, which doesn't depend on how reads are split
+    missing = materialize(parts.where("value is null").select("file", "offset"), "missing")
+    files = materialize(missing.select("file").distinct(), "files")
+    again = _pieces(spark, path).join(small(files), "file", "left_semi").withColumn("bytes", F.octet_length("value").cast("long"))
+    texts = _with_offsets(again).select("file", "offset", F.col("value").alias("again")).join(small(missing), ["file", "offset"], "left_semi")
+    lost = F.raise_error(F.concat(F.lit("no piece at "), F.col("offset").cast("string"), F.lit(" in "), F.col("file")))
+    full = parts.join(texts, ["file", "offset"], "left").select(
+        "file", "owner", "offset", F.coalesce("value", "again", lost.cast("string")).alias("value")
     )
     joined = full.groupBy("file", F.col("owner").alias("offset")).agg(
         F.array_join(
