@@ -114,6 +114,19 @@ def test_one_of_each(spark):
 
 def test_join_empty(spark):
     assert ngram_join.similar_documents(docs_of(spark, []), 3, 90).collect() == []
+    assert ngram_join.one_of_each(docs_of(spark, [])).collect() == []
+
+
+def test_join_with_other_columns(spark):
+    """Columns named as the operator's own ones, a map, and another name of the text."""
+    docs = docs_of(spark, mixed_docs()).withColumnRenamed("text", "body")
+    docs = docs.withColumns({k: F.lit("own") for k in ("doc", "text", "component", "gram", "n_shingles", "count")})
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+    kept = ngram_join.one_of_each(docs, 5, 80, text_col="body")
+    rows = kept.collect()
+    assert kept.columns == docs.columns and all(r.text == "own" and r.tags == {"k": 1} for r in rows)
+    plain = ngram_join.one_of_each(docs_of(spark, mixed_docs()), 5, 80).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in plain)
 
 
 # ---- components

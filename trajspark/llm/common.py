@@ -98,12 +98,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 ),
                 "jump",
             )
+            flat = jumped.where("moved").isEmpty()
+            discard(tree)
             tree = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+            if flat:
                 break
-        links = materialize(_relabel(_relabel(links, tree, "u"), tree, "v").where("u <> v").select(
+        left = materialize(_relabel(_relabel(links, tree, "u"), tree, "v").where("u <> v").select(
             F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-        labels = tree if labels is None else materialize(_relabel(labels, tree, "parent").unionByName(tree), "labels")
+        discard(links)
+        links = left
+        if labels is None:
+            labels = tree
+        else:
+            all_labels = materialize(_relabel(labels, tree, "parent").unionByName(tree), "labels")
+            discard(labels, tree)
+            labels = all_labels
     if labels is None:
         return links.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
     return labels.select("node", F.col("parent").alias("component"))

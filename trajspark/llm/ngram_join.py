@@ -5,19 +5,20 @@ order of all shingles that is the same for all documents, linked documents share
 first n - ceil(t n) + 1 shingles). The order here is rare first, so a document's prefix starts with the shingles that no
 other document has, and only what remains of the prefix is joined. The steps:
 
-1. One pass over the texts gives each document's set size, a 128-bit signature of its set and its counts of shingles in
-   PARTS hash classes, and finds the *frequent* shingles (at least 2**-18 of all shingles, so 2**18 of them at most).
-   Documents with equal sets collapse to the smallest id.
+1. One pass over the texts gives each document's set size and a 128-bit signature of its set, and finds the *frequent*
+   shingles (at least 2**-18 of all shingles, so 2**18 of them at most). Documents with equal sets collapse to the
+   smallest id.
 2. Document frequencies: shingles that aren't frequent are dealt by value over the cluster as packed arrays of (shingle,
    document); those that two documents share return to their documents with their frequency. Frequent ones never travel;
    they come last in the order, by their counts. So no shingle, however common, gathers in one task.
 3. Prefix join. First every prefix entry is paired with the leader of its shingle (the document that has it earliest in
    its order): copies and variants of one text all meet the same few leaders, which takes linear work. Verified links
    form components. Then entries of shingles that still lie in several components are joined with each other, pairs
-   within a component being skipped, as they can't change the result.
-   Pairs pass the length filter, the positional filter (at their first common prefix shingle, what remains must suffice
-   for the overlap needed) and the suffix filter (the parts' counts bound the symmetric difference from below) and are
-   made distinct, so that each is verified once, on its whole sets.
+   within a component being skipped, as they can't change the result; they meet by shingle and class of set size, so
+   that one shingle's entries are split by length. Pairs pass the length filter, the positional filter (at their first
+   common prefix shingle, what remains must suffice for the overlap needed) and the suffix filter (an entry has the
+   counts, in PARTS hash classes, of the shingles from its place on that other documents have; the smaller counts bound
+   the overlap from above) and are made distinct, so that each is verified once, on its whole sets.
 4. Components of all links.
 
 Defined results: words are runs of non-blank characters, A-Z lower-cased. Fewer words than the width: the whole sequence
@@ -27,6 +28,7 @@ component and size. Of rows that repeat an id the greatest text stands for all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +39,14 @@ from pyspark.sql import functions as F
 from .common import components, materialize, ship, small
 from .textops import U64, Words, batches, mix, shingles
 
-PARTS = 32
+PARTS = 16
 FREQUENT = 1 << 18
 UNIT = 500_000  # shingles held by a task before they are written out
 PER_BUCKET = 500_000
 LEAST_BUCKETS = 128
 
-_PROFILE = "kind int, a long, b long, c long, d long, parts array<int>"
-_PROFILE_ARROW = pa.schema(
-    [("kind", pa.int32()), *[(x, pa.int64()) for x in "abcd"], ("parts", pa.list_(pa.int32()))]
-)
+_PROFILE = "kind int, a long, b long, c long, d long"
+_PROFILE_ARROW = pa.schema([("kind", pa.int32()), *[(x, pa.int64()) for x in "abcd"]])
 _PACKED = "bucket int, kind int, x binary, y binary, z binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "xyz"]])
 
@@ -86,8 +86,7 @@ def _profiles(width: int):
         gram, count = gram[keep], count[keep]
         none = pa.nulls(len(gram), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(gram), np.int32)), pa.array(_signed(gram)), pa.array(count.astype(np.int64)), none,
-             none, pa.nulls(len(gram), pa.list_(pa.int32()))],
+            [pa.array(np.ones(len(gram), np.int32)), pa.array(_signed(gram)), pa.array(count.astype(np.int64)), none, none],
             schema=_PROFILE_ARROW,
         )
 
@@ -102,12 +101,9 @@ def _profiles(width: int):
                 with np.errstate(over="ignore"):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(gram ^ U64(salt)), dtype=U64)])
                     sums.append(_signed(total[at[1:]] - total[at[:-1]]))
-            parts = np.bincount(row * PARTS + (gram % U64(PARTS)).astype(np.int64), minlength=len(ids) * PARTS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(ids), np.int32)), pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64)),
-                 pa.array(sums[0]), pa.array(sums[1]),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * PARTS + 1, PARTS, dtype=np.int32)),
-                                          pa.array(parts.astype(np.int32)))],
+                 pa.array(sums[0]), pa.array(sums[1])],
                 schema=_PROFILE_ARROW,
             )
             held.append(gram)
@@ -226,11 +222,15 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n // 100) + 1
 
 
-_ENTRY_ARROW = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64())])
+_ENTRY = "doc long, n long, gram long, pos long, rest array<int>"
+_ENTRY_ARROW = pa.schema([*[(c, pa.int64()) for c in ("doc", "n", "gram", "pos")], ("rest", pa.list_(pa.int32()))])
 
 
 def _prefixes(frequent, percent: int):
-    """(doc, n, gram, pos) of the prefix entries that another document may have, rare first."""
+    """(doc, n, gram, pos, rest) of the prefix entries that another document may have, rare first.
+
+    rest: how many of the shingles from here on that other documents have are in each of PARTS hash classes.
+    """
 
     def stacked(rows: pa.Table, kind: int, *columns: str) -> list[np.ndarray]:
         of = np.array(rows.column("kind").to_pylist()) == kind
@@ -262,39 +262,38 @@ def _prefixes(frequent, percent: int):
         doc, gram = doc[order], gram[order]
         begin = np.searchsorted(doc, np.arange(len(docs)))
         pos = np.arange(len(doc)) - begin[doc] + alone[doc]
-        keep = pos < want[doc]
-        doc, gram, pos = doc[keep], gram[keep], pos[keep]
+        until = np.searchsorted(doc, np.arange(len(docs)), side="right")
+        kept = np.flatnonzero(pos < want[doc])
+        part = (gram.view(U64) % U64(PARTS)).astype(np.int64)
+        rest = np.empty((len(kept), PARTS), np.int32)
+        for p in range(PARTS):
+            upto = np.concatenate([[0], np.cumsum(part == p)])
+            rest[:, p] = upto[until[doc[kept]]] - upto[kept]
+        doc, gram, pos = doc[kept], gram[kept], pos[kept]
+        rests = pa.ListArray.from_arrays(pa.array(np.arange(0, rest.size + 1, PARTS, dtype=np.int32)), pa.array(rest.ravel()))
         return pa.Table.from_arrays(
-            [pa.array(docs[doc]), pa.array(sizes[doc]), pa.array(gram), pa.array(pos)], schema=_ENTRY_ARROW
+            [pa.array(docs[doc]), pa.array(sizes[doc]), pa.array(gram), pa.array(pos), rests], schema=_ENTRY_ARROW
         )
 
     return run
 
 
-def _passes(percent: int, n: str, m: str, i: str, j: str) -> Column:
-    """Length filter and positional filter for sets of n and m shingles that share those at positions i and j."""
+def _passes(percent: int, n: str, m: str, i: str, j: str, rest: str, other: str) -> Column:
+    """Length, positional and suffix filter for sets of n and m shingles that share those at positions i and j."""
     least = F.ceil(F.expr(f"{percent} * ({n} + {m}) / {100 + percent}D"))
     length = F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
-    return length & (F.expr(f"1 + least({n} - {i} - 1, {m} - {j} - 1)") >= least)
-
-
-def _verified(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter on the parts' counts, then the whole sets."""
-    side = lambda t, x: t.select(*[F.col(c).alias(f"{c}_{x}" if c != "doc" else x) for c in t.columns])
-    p = profiles.select("doc", "n", "parts")
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    close = (
-        pairs.join(side(p, "a"), "a")
-        .join(side(p, "b"), "b")
-        # |A xor B| <= n + m - 2 * overlap, with the least overlap p (n + m) / (100 + p)
-        .where(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b")))
-        .select("a", "b", "n_a", "n_b")
-    )
-    both = close.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    position = F.expr(f"1 + least({n} - {i} - 1, {m} - {j} - 1)") >= least
+    both = F.aggregate(F.zip_with(rest, other, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return length & position & (both >= least)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("grams").alias(f"grams_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.where(
-        F.lit(100) * shared >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - shared)
-    ).select("a", "b")
+    union = F.size("grams_a") + F.size("grams_b") - shared
+    return both.where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -323,7 +322,7 @@ def similar_documents(
 
     profile = materialize(texts.mapInArrow(_profiles(width), _PROFILE), "profiles")
     meta = profile.where("kind = 0").select(
-        F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("s"), F.col("d").alias("t"), "parts"
+        F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("s"), F.col("d").alias("t")
     )
     n_docs, n_grams = meta.select(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     copies = materialize(
@@ -355,24 +354,24 @@ def similar_documents(
     entries = (
         shared.unionByName(own)
         .groupBy("bucket")
-        .applyInArrow(_prefixes(held, percent), "doc long, n long, gram long, pos long")
+        .applyInArrow(_prefixes(held, percent), _ENTRY)
     )
     entries = materialize(entries.join(to_rep.where("doc = same").select("doc"), "doc", "left_semi"), "entries")
 
-    met = entries.groupBy("gram").agg(F.min(F.struct("pos", "doc", "n")).alias("lead"), F.count("*").alias("k"))
-    leaders = met.where("k > 1").select("gram", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("pos", "doc", "n")])
+    met = entries.groupBy("gram").agg(F.min(F.struct("pos", "doc", "n", "rest")).alias("lead"), F.count("*").alias("k"))
+    leaders = met.where("k > 1").select("gram", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("pos", "doc", "n", "rest")])
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     starred = materialize(
         entries.join(leaders, "gram")
         .where("doc <> lead_doc")
-        .where(_passes(percent, "n", "lead_n", "pos", "lead_pos"))
+        .where(_passes(percent, "n", "lead_n", "pos", "lead_pos", "rest", "lead_rest"))
         .select(*pair("doc", "lead_doc"))
         .distinct(),
         "starred",
     )
     wanted = materialize(starred.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     sets = materialize(_set_table(texts, wanted, width), "sets")
-    links = materialize(_verified(starred, meta, sets, percent), "links")
+    links = materialize(_verified(starred, sets, percent), "links")
     label = components(links).withColumnsRenamed({"node": "doc"})
 
     placed = materialize(
@@ -380,14 +379,20 @@ def similar_documents(
     )
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = placed.join(mixed.select("gram"), "gram")
-    left = rest.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "component")])
-    right = rest.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "component")])
+    # sets that may link are of neighbouring classes of size
+    step = max(-math.log(percent / 100), 1e-9) * 1.001
+    rest = rest.withColumn("band", F.floor(F.log("n") / step))
+    columns = ("doc", "n", "pos", "rest", "component")
+    left = rest.select("gram", "band", *[F.col(c).alias(f"{c}_a") for c in columns])
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    right = rest.select("gram", bands, *[F.col(c).alias(f"{c}_b") for c in columns])
     met_again = (
         left.join(
             right,
             (left.gram == right.gram)
+            & (left.band == right.band)
             & F.expr("doc_a < doc_b and component_a <> component_b")
-            & _passes(percent, "n_a", "n_b", "pos_a", "pos_b"),
+            & _passes(percent, "n_a", "n_b", "pos_a", "pos_b", "rest_a", "rest_b"),
         )
         .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
         .distinct()
@@ -397,7 +402,7 @@ def similar_documents(
         needed = materialize(more.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
         new = materialize(needed.join(wanted, "doc", "left_anti"), "new")
         sets = sets.unionByName(materialize(_set_table(texts, new, width), "sets"))
-        links = links.unionByName(materialize(_verified(more, meta, sets, percent), "links"))
+        links = links.unionByName(materialize(_verified(more, sets, percent), "links"))
         label = components(links).withColumnsRenamed({"node": "doc"})
 
     of_rep = label.withColumnsRenamed({"doc": "same"})
@@ -412,18 +417,24 @@ def similar_documents(
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest id of their component; rows without an id stay."""
+def one_of_each(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents that are the smallest id of their component; rows without an id stay.
+
+    Of rows that repeat an id one with the greatest text stays.
+    """
     ids = materialize(
-        similar_documents(docs, width, percent, id_col)
+        similar_documents(docs, width, percent, id_col, text_col)
         .where(F.col(id_col) != F.col("component_id"))
         .select(id_col)
         .distinct(),
         "dropped",
     )
-    kept = docs.join(small(ids), id_col, "left_anti")
-    if docs.groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").isEmpty():
+    kept = docs.join(small(ids), id_col, "left_anti").select(*docs.columns)
+    if docs.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).isEmpty():
         return kept
     whole = kept.where(F.col(id_col).isNotNull())
-    first = whole.groupBy(id_col).agg(F.max(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r"))
+    row = F.struct(*docs.columns)
+    first = whole.groupBy(id_col).agg(F.max_by(row, F.coalesce(text_col, F.lit(""))).alias("r"))
     return first.select("r.*").select(*docs.columns).unionByName(kept.where(F.col(id_col).isNull()))
