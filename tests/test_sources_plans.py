@@ -88,3 +88,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tables_by_name(spark, tmp_path):
+    """Headers in another order, columns that only one file has, a tag where the files have none."""
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.csv").write_text("\ufeffbin, NOx_g\n1,10\n2,20\n")
+    (tmp_path / "deep" / "b.csv").write_text("NOx_g,bin,data_type\n30,3,sumo\n")
+    (tmp_path / "deep" / "~c.csv").write_text("bin\n9\n")
+    rows = readers.read_tables(spark, str(tmp_path), tag="ground_truth").select("bin", "NOx_g", "data_type").collect()
+    assert sorted(map(tuple, rows)) == [("1", "10", "ground_truth"), ("2", "20", "ground_truth"), ("3", "30", "sumo")]
+    (tmp_path / "none").mkdir()
+    assert readers.read_tables(spark, str(tmp_path / "none")).columns == []

@@ -1,4 +1,4 @@
-"""Refining the speed profile of each trip by quadratic programmes (one small dense problem in one task for each trip).
+"""Refining the speed profile of each trip by quadratic programmes (one small dense problem for each trip).
 
 Stage 1: with accelerations a and v_t = v_{t-1} + a_t, minimise 5 sum a^2 + sum (v - v0)^2 subject to bounds on a and v,
 steps of a of at most `max_step`, no acceleration in the last row, v = 0 where the given speed is 0, the given speed at
@@ -13,6 +13,7 @@ A trip without a solution (none feasible, or not converged) keeps its given valu
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,11 @@ class Limits:
 
 
 def solve_qp(p: np.ndarray, q: np.ndarray, a: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, tolerance: float) -> np.ndarray | None:
-    """Minimises x'Px/2 + q'x with low <= Ax <= high by operator splitting; None without convergence."""
+    """Minimises x'Px/2 + q'x with low <= Ax <= high by operator splitting; None if infeasible or without convergence.
+
+    If the programme is infeasible, the steps of the multipliers tend to a direction d with A'd = 0 that separates the
+    bounds (high'd+ + low'd- < 0), which proves it.
+    """
     n, m = len(q), len(low)
     rho = np.where(low == high, 1e3, 1.0)
     sigma = 1e-6
@@ -49,14 +54,29 @@ def solve_qp(p: np.ndarray, q: np.ndarray, a: np.ndarray, low: np.ndarray, high:
         x = inverse @ (sigma * x - q + a.T @ (rho * z - y))
         ax = a @ x
         new = np.clip(ax + y / rho, low, high)
-        y = y + rho * (ax - new)
+        turn = rho * (ax - new)
+        y = y + turn
         dual = np.abs(p @ x + q + a.T @ y).max() if k % 25 == 24 else np.inf
         z = new
         if k % 25 == 24 and np.abs(ax - z).max() <= tolerance and dual <= tolerance * max(1.0, np.abs(q).max()):
             return x
+        if k % 25 == 24 and (size := np.abs(turn).max()) > tolerance and np.abs(a.T @ turn).max() <= 1e-4 * size:
+            up, down = turn > 1e-6 * size, turn < -1e-6 * size
+            if high[up] @ turn[up] + low[down] @ turn[down] < -1e-4 * size:
+                return None
     return None
 
 
+def reachable(low: np.ndarray, high: np.ndarray, most: float) -> bool:
+    """Whether some speeds within their bounds change by at most `most` from row to row."""
+    a, b = low[0], high[0]
+    for x, y in zip(low[1:].tolist(), high[1:].tolist(), strict=True):
+        a, b = max(x, a - most), min(y, b + most)
+        if a > b + 1e-9:
+            return False
+    return True
+
+
 def stage_one(v0: np.ndarray, limits: Limits, gap_low: np.ndarray | None = None, gap_high: np.ndarray | None = None) -> np.ndarray | None:
     """Accelerations a_0..a_{n-1} with v_t = v0_0 + a_0 + ... + a_t.
 
@@ -69,6 +89,8 @@ def stage_one(v0: np.ndarray, limits: Limits, gap_low: np.ndarray | None = None,
     lock = (v0 == 0) | (np.arange(n) == 0) | (np.arange(n) == n - 1)
     speed_low = np.where(lock, v0, 0.0) - v0[0]
     speed_high = np.where(lock, v0, limits.v_max) - v0[0]
+    if not reachable(speed_low, speed_high, limits.a_max):
+        return None
     last = np.zeros((1, n))
     last[0, -1] = 1
     step = np.diff(np.eye(n), axis=0)
@@ -128,24 +150,54 @@ def stage_two(v0: np.ndarray, a0: np.ndarray, env: np.ndarray, limits: Limits, r
 _OUT = "vehicle_id string, trip_id long, timestep_time double, vehicle_speed double, vehicle_accel double"
 
 
-def _frame(g: pd.DataFrame, v: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({VID: g[VID], "trip_id": g["trip_id"], T: g[T], V: v, A: a})
+def _by_trip(rows: DataFrame, columns: list[str], solve: Callable[..., tuple[np.ndarray, np.ndarray] | None]) -> DataFrame:
+    """_OUT for the trips that solve(*columns of a trip) has speeds and accelerations for.
+
+    Trips are dealt over the cluster and sorted there; a task works through its batches trip by trip and holds a batch
+    and the trip that goes on into the next one, whatever the number of trips. Of rows of one time one counts.
+    """
+
+    def solved(frame: pd.DataFrame) -> pd.DataFrame:
+        vid, trip, t = (frame[c].to_numpy() for c in (*KEYS, T))
+        other = (vid[1:] != vid[:-1]) | (trip[1:] != trip[:-1])
+        once = np.concatenate([[True], other | (t[1:] != t[:-1])])
+        frame = frame[once].reset_index(drop=True)
+        edge = np.flatnonzero(np.concatenate([[True], other])[once])
+        values = [frame[c].to_numpy(float) for c in columns]
+        speed, accel, good = np.zeros(len(frame)), np.zeros(len(frame)), np.zeros(len(frame), bool)
+        for i, j in zip(edge, [*edge[1:], len(frame)], strict=True):
+            if found := solve(*[x[i:j] for x in values]):
+                speed[i:j], accel[i:j] = found
+                good[i:j] = True
+        return frame[[*KEYS, T]].assign(**{V: speed, A: accel})[good]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = frame.iloc[-1] if len(frame) else None
+            if last is None:
+                continue
+            goes_on = ((frame[VID] == last[VID]) & (frame["trip_id"] == last["trip_id"])).to_numpy()
+            held = frame[goes_on]
+            if not goes_on.all():
+                yield solved(frame[~goes_on])
+        if held is not None:
+            yield solved(held)
+
+    ship(rows.sparkSession)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, T).mapInPandas(run, _OUT)
 
 
 def refine_stage_one(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """df with speed and acceleration overwritten in the trips that have a solution."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(T).drop_duplicates(T).reset_index(drop=True)
-        v0 = g[V].to_numpy(float)
+    def solve(v0: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         a = stage_one(v0, limits) if len(v0) > 1 else None
-        if a is None:
-            return pd.DataFrame(columns=[VID, "trip_id", T, V, A])
-        return _frame(g, np.maximum(v0[0] + np.cumsum(a), 0), a)
+        return None if a is None else (np.maximum(v0[0] + np.cumsum(a), 0), a)
 
-    ship(df.sparkSession)
     rows = moving_only(df.where(F.col(V).isNotNull()), (VID, "trip_id"))
-    solved = rows.select(*KEYS, T, V).groupBy(*KEYS).applyInPandas(run, _OUT)
+    solved = _by_trip(rows.select(*KEYS, T, V), [V], solve)
     return overwrite(df, solved, [*KEYS, T], [V, A])
 
 
@@ -156,11 +208,8 @@ def refine_stage_two(df: DataFrame, bad: DataFrame, envelope: DataFrame, limits:
     """
     env = np.array([[r.accel_d10 / 10, r.jerk_min, r.jerk_max] for r in envelope.orderBy("accel_d10").collect()])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(T).drop_duplicates(T).reset_index(drop=True)
-        found = stage_two(g[V].to_numpy(float), g[A].to_numpy(float), env, limits) if len(g) > 2 else None
-        return _frame(g, *found) if found else pd.DataFrame(columns=[VID, "trip_id", T, V, A])
+    def solve(v: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        return stage_two(v, a, env, limits) if len(v) > 2 else None
 
-    ship(df.sparkSession)
     rows = df.join(bad.select(*KEYS), KEYS, "left_semi").select(*KEYS, T, V, A)
-    return overwrite(df, rows.groupBy(*KEYS).applyInPandas(run, _OUT), [*KEYS, T], [V, A])
+    return overwrite(df, _by_trip(rows, [V, A], solve), [*KEYS, T], [V, A])

@@ -118,9 +118,9 @@ def roi_point_in_polygon(spark, sf_dir):
     return traj(spark, sf_dir).where(inside).select("event_id", "vehicle_x", "vehicle_y")
 
 
-@query(with_traj("select event_id from fx_traj where vehicle_id in (select vehicle_id from fx_traj where timestep_time < 3 group by 1 having max(abs(vehicle_speed)) > 0) and timestep_time < 3"))
+@query(with_traj("select event_id from fx_traj where vehicle_id in (select vehicle_id from fx_traj group by 1 having max(abs(vehicle_speed)) > 0)"))
 def moving_trip_filter(spark, sf_dir):
-    return kinematics.moving_only(traj(spark, sf_dir).where("timestep_time < 3")).select("event_id")
+    return kinematics.moving_only(traj(spark, sf_dir)).select("event_id")
 
 
 @query(with_traj("select event_id from fx_traj where (vehicle_id, vehicle_lane) in (select vehicle_id, vehicle_lane from fx_traj where vehicle_speed = 0)"))

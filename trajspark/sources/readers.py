@@ -56,6 +56,32 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", recursive: bool = F
     return df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
 
 
+def read_tables(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
+    """All CSV files under path as one table, columns put together by name; missing ones are null.
+
+    Files may have different headers, or the same names in another order. Names are stripped. With a tag, files without a
+    data_type column get it as their data_type. Without files the table has no columns.
+    """
+    found = {"recursiveFileLookup": True, "pathGlobFilter": "[!.~]*.csv"}
+    lines = spark.read.options(**found).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        "value",
+    )
+    firsts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    parts = []
+    for row in firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        part = spark.read.option("header", True).csv(row.files)
+        part = part.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in part.columns})
+        if tag is not None and "data_type" not in part.columns:
+            part = part.withColumn("data_type", F.lit(tag))
+        parts.append(part)
+    out = parts[0] if parts else spark.createDataFrame([], "")
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def enum_index(column: str, values: list[str]) -> Column:
     """Position of an enumerated value from 0; null if it isn't one."""
     at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
