@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajspark.functions import expr, schema
-from trajspark.operators import envelope, interpolation, kinematics, neighbors, refine, smoothing, spatial, topology, trips
+from trajspark.operators import envelope, groundtruth, interpolation, kinematics, neighbors, refine, smoothing, spatial, topology, trips
 
 
 def frame(spark, rows, columns):
@@ -200,3 +200,60 @@ def test_paths_without_entry_lane(spark):
     assert {tuple(r.path) for r in topology.lane_paths(ring).collect()} == {("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b")}
     exits = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "x")], columns)
     assert {tuple(r.path) for r in topology.lane_paths(exits).collect()} == {("b", "c", "a"), ("b", "x"), ("x",)}
+
+
+def test_long_paths_are_cut(spark):
+    links = spark.createDataFrame([(f"l{k}", f"l{k + 1}") for k in range(9)], "lane_id string, next_lane_id string")
+    assert [list(r.path) for r in topology.lane_paths(links, max_length=4).collect()] == [["l0", "l1", "l2", "l3"]]
+    assert len(topology.lane_paths(links, max_length=10).first().path) == 10
+
+
+def test_path_table_by_hand(spark):
+    """Two lanes of edge a lead to b by an internal lane: one path; a flow from a to b is the larger of two."""
+    links = spark.createDataFrame([("a_0", ":j_0"), ("a_1", ":j_0"), (":j_0", "b_0"), ("b_0", None)], "lane_id string, next_lane_id string")
+    lengths = spark.createDataFrame([("a_0", 5.0), ("a_1", 6.0), (":j_0", 1.0), ("b_0", 10.0)], "lane_id string, length double")
+    flows = spark.createDataFrame([("f", "a", "b", 1.0), ("g", "a", "b", 2.0)], "flow_id string, from_edge string, to_edge string, vehs_per_hour double")
+    compact = topology.compact_paths(topology.lane_paths(links), lengths)
+    rows = topology.path_table(compact, links, flows).collect()
+    assert [(r.signature, r.path_len, r.n_edges, r.strict_start, r.strict_end, r.from_edge, r.to_edge, r.flow_id) for r in rows] == [
+        ("a>:j_0>b", 16.0, 3, True, True, "a", "b", "g")
+    ]
+    assert topology.path_table(compact.limit(0), links, flows).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stage_one_keeps_room(seed):
+    """The vehicle ahead stands still: without the limit the profile would come too near."""
+    rng = np.random.default_rng(seed)
+    v = np.concatenate([[4.0], 4 + rng.uniform(0, 2, 10), [4.0]])
+    x = np.concatenate([[0], np.cumsum((v[:-1] + v[1:]) / 2)])
+    safe, limits = 2.0, refine.Limits()
+    ahead = np.full(len(v), np.nan)
+    behind = np.full(len(v), np.nan)
+    free = refine.stage_one(v, limits)
+    gone = lambda acc: np.concatenate([[0], np.cumsum(((w := v[0] + np.cumsum(acc))[:-1] + w[1:]) / 2)])
+    ahead[5:9] = gone(free)[8] + 1.0 - x[5:9]  # 1 m left in row 8 without the limit
+    a = refine.stage_one(v, limits, ahead, behind, safe)
+    left = lambda acc: ((x + ahead - gone(acc)) - safe - 0.1 * (v[0] + np.cumsum(acc)))[5:9]
+    assert left(free).min() < 0 and left(a).min() > -1e-2
+    behind[:] = 1.0  # nearer than the least room to the vehicle behind, in the first row already
+    assert refine.stage_one(v, limits, ahead, behind, safe) is None
+
+
+def test_refined_trips_are_marked(spark):
+    rows = [("a", 0, float(t), v, 0.0, None, None) for t, v in enumerate([1.0, 2.0, 2.5, 2.0])] + [("b", 0, float(t), v, 0.0, 0.5, None) for t, v in enumerate([10.0, 11.0, 10.0])]
+    df = spark.createDataFrame(rows, "vehicle_id string, trip_id long, timestep_time double, vehicle_speed double, vehicle_accel double, following_headway_distance double, preceding_headway_distance double")
+    got = {(r.vehicle_id, r.solved) for r in refine.refine_stage_one(df).collect()}
+    assert got == {("a", True), ("b", False)}  # b is nearer to the vehicle ahead than it may be at its speed
+
+
+def test_reports_and_sample(spark):
+    rows = spark.createDataFrame([("a", 0.0, 80.0), ("a", 1.0, 80.0), ("a", 1.0, 80.0), ("b", 0.0, 80.0), ("b", 3.0, 80.0), (None, 0.0, 1.0)], "vehicle_id string, timestep_time double, vehicle_speed double")
+    assert tuple(kinematics.dt_report(rows).first()) == (1.0, 2.0, 3.0, 1)
+    assert tuple(kinematics.dt_report(rows.limit(0)).first()) == (None, None, None, 0)
+    one = kinematics.sample_vehicles(rows, 1, seed=3)
+    assert one.count() in (2, 3) and one.select("vehicle_id").distinct().count() == 1
+    assert kinematics.sample_vehicles(rows, 9).count() == 5
+    warned = lambda unit: groundtruth.speed_report(rows, unit).first().warning
+    assert "above 60" in warned("mps") and warned("mph") is None and "unknown unit" in warned("knots")
+    assert "below 10" in groundtruth.speed_report(rows.withColumn("vehicle_speed", F.lit(2.0)), "kmh").first().warning

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from trajspark.plans import pipeline
 from trajspark.plans.fixtures import fx
 from trajspark.plans.pipeline import Pipeline, Settings
 from trajspark.sources import readers
@@ -100,3 +102,41 @@ def test_tables_by_name(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("1", "10", "ground_truth"), ("2", "20", "ground_truth"), ("3", "30", "sumo")]
     (tmp_path / "none").mkdir()
     assert readers.read_tables(spark, str(tmp_path / "none")).columns == []
+
+
+def test_xml_of_any_form(spark, tmp_path):
+    """Attributes of enclosing elements go down, an element without children keeps a row, tags have rows of their own."""
+    text = """<root>
+      <step time="0"><car id="a" v="1"><wheel n="1"/><wheel n="2"/></car><car id="b" v="2"/></step>
+      <step time="1"/>
+      <step time="2"><bus id="c"/><car id="d" v="3"/></step></root>"""
+    (tmp_path / "any.xml").write_text(text)
+    rows = readers.read_flat_xml(spark, str(tmp_path / "any.xml"), "step")
+    assert rows.columns == ["bus_id", "car_id", "car_v", "step_time", "wheel_n"]
+    got = {tuple(r) for r in rows.collect()}
+    assert got == {
+        (None, "a", "1", "0", "1"), (None, "a", "1", "0", "2"), (None, "b", "2", "0", None),
+        (None, None, None, "1", None), ("c", None, None, "2", None), (None, "d", "3", "2", None),
+    }
+
+
+def test_xml_is_validated(spark, tmp_path):
+    xsd = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="lane"><xs:complexType>
+      <xs:attribute name="id" type="xs:string" use="required"/><xs:attribute name="length" type="xs:float"/>
+    </xs:complexType></xs:element></xs:schema>"""
+    (tmp_path / "lane.xsd").write_text(xsd)
+    (tmp_path / "good.xml").write_text('<net><lane id="a" length="1.5"/><lane id="b"/></net>')
+    (tmp_path / "bad.xml").write_text('<net><lane id="a" length="1.5"/><lane length="long"/></net>')
+    read = lambda name: readers.read_flat_xml(spark, str(tmp_path / name), "lane", str(tmp_path / "lane.xsd")).collect()
+    assert {tuple(r) for r in read("good.xml")} == {("a", "1.5"), ("b", None)}
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read("bad.xml")
+
+
+def test_times_and_pollutants_of_the_settings(spark):
+    assert Settings(sim_time=(5.0, 1.0)).validate() and not Settings(sim_time=(1.0, None), gt_time=(None, 2.0)).validate()
+    rows = [("sumo", float(t)) for t in range(4)] + [("ground_truth", float(t)) for t in range(4)]
+    df = spark.createDataFrame(rows, "data_type string, timestep_time double").selectExpr("*", "0D vehicle_x", "0D vehicle_y", "1D as NOx_gs", "1D as HC_gs")
+    left = pipeline._in_roi({"matched": df}, Settings(sim_time=(2.0, None), gt_time=(None, 0.0)))
+    assert sorted((r.data_type, r.timestep_time) for r in left.collect()) == [("ground_truth", 0.0), ("sumo", 2.0), ("sumo", 3.0)]
+    assert pipeline._rates({"matched": df}, Settings(pollutants=())) == ["NOx_gs", "HC_gs"]

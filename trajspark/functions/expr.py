@@ -19,7 +19,9 @@ VEHICLE_CLASSES = {
 GT_LABELS = {"sedan": ["小轿车"], "MPV": ["MPV商务车"], "truck": ["厢式货车"]}
 
 # Metres per second in one unit.
-SPEED_UNITS = {"m/s": 1.0, "km/h": 1 / 3.6, "mph": 0.44704}
+SPEED_UNITS = {
+    "m/s": 1.0, "mps": 1.0, "ms": 1.0, "m_s": 1.0, "km/h": 1 / 3.6, "kmh": 1 / 3.6, "kph": 1 / 3.6, "mph": 0.44704,
+}
 
 DEFAULT_CLASS = "sedan"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import gt_vehicle_class, to_mps
+from ..functions.expr import SPEED_UNITS, gt_vehicle_class, to_mps
 from ..functions.schema import GT_ALIASES, resolve
 from .kinematics import A, T, V, VID, by_time, clipped_speed, step_back, upto
 
@@ -44,3 +44,21 @@ def standardise(df: DataFrame, unit: str = "m/s", prefer: str = "speed", keep_je
     no_odometer = rows.where("vehicle_odometer is not null").isEmpty()
     rows = consistent_speed(rows, prefer)
     return speed_odometer(rows) if no_odometer else rows
+
+
+def speed_report(df: DataFrame, unit: str = "m/s") -> DataFrame:
+    """(speed_p95, warning): 95th percentile of the speeds in m/s, and what makes the unit doubtful (null if nothing).
+
+    df has its speeds in m/s, as `standardise` leaves them. Doubtful are an unknown unit, more than 60 m/s in a unit that
+    is taken as m/s, and less than 10 m/s where km/h were converted.
+    """
+    name = unit.strip().lower()
+    factor = SPEED_UNITS.get(name)
+    p95 = F.col("speed_p95")
+    warning = F.lit(None).cast("string") if factor else F.lit(f"unknown unit {unit}, taken as m/s")
+    if factor in (None, 1.0):
+        warning = F.concat_ws("; ", warning, F.when(p95 > 60, "p95 above 60 m/s: is the unit right?"))
+    elif factor == SPEED_UNITS["km/h"]:
+        warning = F.concat_ws("; ", warning, F.when(p95 < 10, "p95 below 10 m/s after conversion from km/h: is the unit right?"))
+    speeds = df.agg(F.percentile(V, 0.95).alias("speed_p95"))
+    return speeds.withColumn("warning", F.nullif(F.coalesce(warning, F.lit("")), F.lit("")))

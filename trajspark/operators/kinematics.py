@@ -117,3 +117,19 @@ def standardise_fcd(df: DataFrame, dt_first: float = 1.0) -> DataFrame:
     df = df.withColumn(A, F.coalesce(A, F.lit(0.0))).withColumn("_given", F.col("vehicle_odometer"))
     df = odometer_integral(df, dt_first)
     return df.withColumn("vehicle_odometer", F.coalesce("_given", "vehicle_odometer")).drop("_given")
+
+
+def dt_report(df: DataFrame) -> DataFrame:
+    """(dt_min, dt_median, dt_max, dt_nonpos_count): steps between a vehicle's rows; the first three of positive steps."""
+    steps = df.select((F.col(T) - F.lag(T).over(by_time())).alias("dt"))
+    up = F.when(F.col("dt") > 0, F.col("dt"))
+    return steps.agg(
+        F.min(up).alias("dt_min"), F.median(up).alias("dt_median"), F.max(up).alias("dt_max"),
+        F.count_if(F.col("dt") <= 0).alias("dt_nonpos_count"),
+    )
+
+
+def sample_vehicles(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """All rows of n vehicles (all, if fewer), chosen by a hash of their ids and the seed; reruns agree."""
+    chosen = df.where(F.col(VID).isNotNull()).select(VID).distinct().orderBy(F.xxhash64(F.lit(seed), VID), VID).limit(n)
+    return df.join(chosen, VID, "left_semi")

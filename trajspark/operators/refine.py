@@ -2,13 +2,15 @@
 
 Stage 1: with accelerations a and v_t = v_{t-1} + a_t, minimise 5 sum a^2 + sum (v - v0)^2 subject to bounds on a and v,
 steps of a of at most `max_step`, no acceleration in the last row, v = 0 where the given speed is 0, the given speed at
-both ends, and room to the vehicles ahead and behind where those are known.
+both ends, and room to the vehicles ahead and behind where those are known: the place x_t = x_{t-1} + v_{t-1} + a_t / 2
+stays the safe distance and 0.1 v_t behind the vehicle ahead, and the safe distance and 0.1 v_max before the one behind.
+Places never go back, as speeds aren't negative.
 
 Stage 2: v_t = v_{t-1} + a_{t-1} + j_{t-1} / 2 with jerks j inside an envelope that depends on a. The envelope is not
 convex, so the programme is solved again and again with the envelope taken at the accelerations found before; a result
 counts only if it lies inside the true envelope. This may miss the global optimum.
 
-A trip without a solution (none feasible, or not converged) keeps its given values.
+A trip without a solution (none feasible, or not converged) keeps its given values, and `solved` is false in its rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.session import ship
 from .envelope import overwrite
 from .kinematics import A, T, V, VID, moving_only
+from .neighbors import safe_distance
 
 KEYS = [VID, "trip_id"]
 
@@ -77,10 +80,12 @@ def reachable(low: np.ndarray, high: np.ndarray, most: float) -> bool:
     return True
 
 
-def stage_one(v0: np.ndarray, limits: Limits, gap_low: np.ndarray | None = None, gap_high: np.ndarray | None = None) -> np.ndarray | None:
+def stage_one(
+    v0: np.ndarray, limits: Limits, ahead: np.ndarray | None = None, behind: np.ndarray | None = None, safe: float = 0.0
+) -> np.ndarray | None:
     """Accelerations a_0..a_{n-1} with v_t = v0_0 + a_0 + ... + a_t.
 
-    gap_low, gap_high: bounds on the distance gone by each row (follower behind, leader ahead), infinite where free.
+    ahead, behind: distances from the given place to the vehicle ahead and from the one behind, NaN where there is none.
     """
     n = len(v0)
     total = np.tril(np.ones((n, n)))
@@ -97,18 +102,15 @@ def stage_one(v0: np.ndarray, limits: Limits, gap_low: np.ndarray | None = None,
     rows = [total, np.eye(n), step, last]
     low = [speed_low, np.full(n, -limits.a_max), np.full(n - 1, -limits.max_step), np.zeros(1)]
     high = [speed_high, np.full(n, limits.a_max), np.full(n - 1, limits.max_step), np.zeros(1)]
-    if gap_low is not None and gap_high is not None:
-        # distance gone: x_t = x_{t-1} + v_{t-1} + a_t / 2
+    if ahead is not None and behind is not None and (np.isfinite(ahead) | np.isfinite(behind)).any():
         gone = np.zeros((n, n))
-        for t in range(1, n):
-            gone[t] = gone[t - 1] + total[t - 1]
-            gone[t, t] += 0.5
-        base = v0[0] * np.arange(n)
-        some = np.isfinite(gap_low) | np.isfinite(gap_high)
-        if some.any():
-            rows.append(gone[some])
-            low.append((gap_low - base)[some])
-            high.append((gap_high - base)[some])
+        gone[1:] = np.cumsum((total[:-1] + total[1:]) / 2, axis=0)
+        # how far the place may lie from the given one, where the speed stays at v0_0
+        off = np.concatenate([[0], np.cumsum((v0[:-1] + v0[1:]) / 2)]) - v0[0] * np.arange(n)
+        lead, tail = np.isfinite(ahead), np.isfinite(behind)
+        rows += [(gone + 0.1 * total)[lead], gone[tail]]
+        low += [np.full(lead.sum(), -np.inf), (off - behind + safe + 0.1 * limits.v_max)[tail]]
+        high += [(off + ahead - safe - 0.1 * v0[0])[lead], np.full(tail.sum(), np.inf)]
     return solve_qp(p, q, np.vstack(rows), np.concatenate(low), np.concatenate(high), limits.steps, limits.tolerance)
 
 
@@ -190,19 +192,28 @@ def _by_trip(rows: DataFrame, columns: list[str], solve: Callable[..., tuple[np.
 
 
 def refine_stage_one(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """df with speed and acceleration overwritten in the trips that have a solution."""
+    """df with speed and acceleration overwritten in the trips that have a solution, and `solved` (true in these).
 
-    def solve(v0: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        a = stage_one(v0, limits) if len(v0) > 1 else None
+    Where df has headways (`neighbors.neighbours`), trips keep room to the vehicles ahead and behind.
+    """
+    gaps = [g for g in ("following_headway_distance", "preceding_headway_distance") if g in df.columns]
+    gaps = gaps if len(gaps) == 2 else []
+    safe = safe_distance(df).first()[0] if gaps else 0.0
+
+    def solve(v0: np.ndarray, *room: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        a = stage_one(v0, limits, *room, safe=safe) if len(v0) > 1 else None
         return None if a is None else (np.maximum(v0[0] + np.cumsum(a), 0), a)
 
     rows = moving_only(df.where(F.col(V).isNotNull()), (VID, "trip_id"))
-    solved = _by_trip(rows.select(*KEYS, T, V), [V], solve)
-    return overwrite(df, solved, [*KEYS, T], [V, A])
+    return _with_solved(df, _by_trip(rows.select(*KEYS, T, V, *gaps), [V, *gaps], solve))
+
+
+def _with_solved(df: DataFrame, solved: DataFrame) -> DataFrame:
+    return overwrite(df.withColumn("solved", F.lit(False)), solved.withColumn("solved", F.lit(True)), [*KEYS, T], [V, A, "solved"])
 
 
 def refine_stage_two(df: DataFrame, bad: DataFrame, envelope: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """df with speed and acceleration overwritten in those of the bad trips that have a solution.
+    """df with speed and acceleration overwritten in those of the bad trips that have a solution, and `solved`.
 
     envelope: at most a few hundred rows (accel_d10, jerk_min, jerk_max), which go to every task.
     """
@@ -212,4 +223,4 @@ def refine_stage_two(df: DataFrame, bad: DataFrame, envelope: DataFrame, limits:
         return stage_two(v, a, env, limits) if len(v) > 2 else None
 
     rows = df.join(bad.select(*KEYS), KEYS, "left_semi").select(*KEYS, T, V, A)
-    return overwrite(df, _by_trip(rows, [V, A], solve), [*KEYS, T], [V, A])
+    return _with_solved(df, _by_trip(rows, [V, A], solve))

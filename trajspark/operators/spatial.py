@@ -67,8 +67,16 @@ def error_pct(spatial: DataFrame, masses: list[str], gt_tags: list[str]) -> Data
 
 
 def compare_pivot(errors: DataFrame, types: list[str]) -> DataFrame:
-    """(pollutant, axis_bin, one column for each data type): error by bin."""
-    return errors.groupBy("pollutant", "axis_bin").pivot("data_type", types).agg(F.first("error_pct"))
+    """(pollutant, axis_bin, one column for each data type): error by bin, against the first ground-truth type by name."""
+    return errors.groupBy("pollutant", "axis_bin").pivot("data_type", types).agg(F.min_by("error_pct", "gt_type"))
+
+
+def compare_summary(errors: DataFrame) -> DataFrame:
+    """(pollutant, data_type, gt_type, n_bins, total, gt_total, mean_abs_error_pct, max_abs_error_pct)."""
+    return errors.groupBy("pollutant", "data_type", "gt_type").agg(
+        F.count("error_pct").alias("n_bins"), F.sum("value").alias("total"), F.sum("gt_value").alias("gt_total"),
+        F.avg(F.abs("error_pct")).alias("mean_abs_error_pct"), F.max(F.abs("error_pct")).alias("max_abs_error_pct"),
+    )
 
 
 def top_cells(spatial: DataFrame, mass: str, k: int) -> DataFrame:
@@ -80,5 +88,3 @@ def time_between(df: DataFrame, low: float | None, high: float | None) -> DataFr
     if low is not None:
         df = df.where(F.col(T) >= low)
     return df.where(F.col(T) <= high) if high is not None else df
-
-

@@ -72,7 +72,8 @@ def lane_candidates(links: DataFrame, lengths: DataFrame, hops: int = 2) -> Data
 def lane_paths(links: DataFrame, max_length: int = 200) -> DataFrame:
     """(path array<string>) from lanes without predecessor to lanes without successor, or to where a lane would repeat.
 
-    Without such a first lane paths start at lanes that aren't one-in-one-out, and if all are, at every lane.
+    Without such a first lane paths start at lanes that aren't one-in-one-out, and if all are, at every lane. A path of
+    max_length lanes ends there.
     """
     edges = links.where("next_lane_id is not null").select("lane_id", "next_lane_id").distinct()
     rank = F.expr("case when n_in = 0 then 0 when n_in <> 1 or n_out <> 1 then 1 else 2 end")
@@ -80,16 +81,16 @@ def lane_paths(links: DataFrame, max_length: int = 200) -> DataFrame:
     starts = ranks.join(F.broadcast(ranks.agg(F.min("rank").alias("rank"))), "rank").select("lane_id")
     return edges.sparkSession.sql(
         f"""
-        with recursive walk(path, lane, step) max recursion level {max_length} as (
+        with recursive walk(path, lane, step) max recursion level {max_length + 1} as (
             select array(s.lane_id), s.lane_id, 1
             from {{starts}} s
             union all
             select /*+ broadcast(e) */ concat(w.path, array(e.next_lane_id)), e.next_lane_id, w.step + 1
             from walk w join {{edges}} e on w.lane = e.lane_id
-            where not array_contains(w.path, e.next_lane_id)
+            where w.step < {max_length} and not array_contains(w.path, e.next_lane_id)
         )
         select distinct path from walk w
-        where not exists (
+        where w.step = {max_length} or not exists (
             select 1 from {{edges}} e where e.lane_id = w.lane and not array_contains(w.path, e.next_lane_id))
         """,
         edges=edges,
@@ -110,6 +111,33 @@ def compact_paths(paths: DataFrame, lengths: DataFrame) -> DataFrame:
     return edges.withColumn("cumulative", F.sum("length").over(along))
 
 
+def path_table(compact: DataFrame, links: DataFrame, flows: DataFrame) -> DataFrame:
+    """One row for each sequence of edges of compact_paths: its id, length, ends, and the largest flow between them.
+
+    Of lane paths with one sequence of edges the smallest path_key gives the length. from_edge and to_edge are the first
+    and last edges that aren't internal (:...); strict_start and strict_end tell whether no link of the graph leads to
+    the first or from the last edge. path_id is a hash of the signature.
+    """
+    edges = F.transform(F.array_sort(F.collect_list(F.struct("seq", "edge_id"))), lambda e: e["edge_id"])
+    paths = compact.groupBy("path_key").agg(edges.alias("edges"), F.sum("length").alias("path_len"))
+    paths = paths.withColumn("signature", F.array_join("edges", ">")).groupBy("signature").agg(
+        F.min_by(F.struct("edges", "path_len"), "path_key").alias("p")
+    )
+    outer = F.filter("p.edges", lambda e: ~e.startswith(":"))
+    paths = paths.select(
+        F.xxhash64("signature").alias("path_id"), "signature", "p.path_len", F.size("p.edges").cast("long").alias("n_edges"),
+        F.get("p.edges", F.lit(0)).alias("start_edge"), F.element_at("p.edges", -1).alias("end_edge"),
+        F.get(outer, F.lit(0)).alias("from_edge"), F.try_element_at(outer, F.lit(-1)).alias("to_edge"),
+    )
+    between = links.where("next_lane_id is not null").select(
+        edge_of(F.col("lane_id")).alias("start"), edge_of(F.col("next_lane_id")).alias("end")
+    ).where("start <> end")
+    entered, left = between.select(F.col("end").alias("start_edge")), between.select(F.col("start").alias("end_edge"))
+    for name, key, met in (("strict_start", "start_edge", entered), ("strict_end", "end_edge", left)):
+        paths = paths.join(met.distinct().withColumn("_met", F.lit(True)), key, "left").withColumn(name, F.col("_met").isNull()).drop("_met")
+    return paths.join(largest_flow(flows).drop("vehs_per_hour"), ["from_edge", "to_edge"], "left")
+
+
 def largest_flow(flows: DataFrame) -> DataFrame:
     """(from_edge, to_edge, flow_id): the flow of most vehicles for each pair of edges, ties to the smaller id."""
     best = F.min(F.struct((-F.col("vehs_per_hour")).alias("v"), F.col("flow_id").alias("f")))

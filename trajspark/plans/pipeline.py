@@ -26,7 +26,9 @@ class Settings:
     least_pct: float = 90.0
     bin_size: float = 20.0
     roi: str | None = None
-    pollutants: tuple[str, ...] = tuple(POLLUTANTS)
+    pollutants: tuple[str, ...] = tuple(POLLUTANTS)  # none: all that the factors have
+    sim_time: tuple[float | None, float | None] = (None, None)  # first and last second that counts, None is open
+    gt_time: tuple[float | None, float | None] = (None, None)
     gt_speed_unit: str = "m/s"
     smooth: bool = True
     refine: bool = True
@@ -35,6 +37,9 @@ class Settings:
         problems = [] if self.bin_size > 0 else ["bin_size must be positive"]
         if self.roi and not parse_polygon(self.roi):
             problems.append("roi must be x,y;x,y;x,y;... with three points or more")
+        for name, (low, high) in (("sim_time", self.sim_time), ("gt_time", self.gt_time)):
+            if low is not None and high is not None and low > high:
+                problems.append(f"{name} must not end before it begins")
         return problems
 
 
@@ -124,21 +129,32 @@ def _variants(have: dict[str, DataFrame], s: Settings) -> DataFrame:
     return out
 
 
-def _rates(s: Settings) -> list[str]:
-    return [emission.rate_column(p) for p in s.pollutants]
+def _pollutants(have: dict[str, DataFrame], s: Settings) -> list[str]:
+    if s.pollutants:
+        return list(s.pollutants)
+    return sorted(r.pollutant for r in have["factors"].select("pollutant").distinct().collect() if r.pollutant is not None)
+
+
+def _rates(have: dict[str, DataFrame], s: Settings) -> list[str]:
+    """The rate columns of the chosen pollutants; of all that were matched if none is chosen."""
+    return [emission.rate_column(p) for p in s.pollutants] or [c for c in have["matched"].columns if c.endswith("_gs")]
 
 
 def _matched(have: dict[str, DataFrame], s: Settings) -> DataFrame:
-    return emission.match_factors(have["variants"], emission.wide_factors(have["factors"], list(s.pollutants)))
+    return emission.match_factors(have["variants"], emission.wide_factors(have["factors"], _pollutants(have, s)))
 
 
 def _in_roi(have: dict[str, DataFrame], s: Settings) -> DataFrame:
     polygon = parse_polygon(s.roi)
-    return have["matched"].where(in_polygon(F.col("vehicle_x"), F.col("vehicle_y"), polygon))
+    rows = have["matched"].where(in_polygon(F.col("vehicle_x"), F.col("vehicle_y"), polygon))
+    is_gt = F.lower("data_type").isin(GT_TAGS)
+    if s.sim_time == s.gt_time == (None, None):
+        return rows
+    return spatial.time_between(rows.where(~is_gt), *s.sim_time).unionByName(spatial.time_between(rows.where(is_gt), *s.gt_time))
 
 
 def _intensity(have: dict[str, DataFrame], s: Settings) -> DataFrame:
-    return emission.intensity(_in_roi(have, s), _rates(s))
+    return emission.intensity(_in_roi(have, s), _rates(have, s))
 
 
 def _spatial(have: dict[str, DataFrame], s: Settings) -> DataFrame:
@@ -146,13 +162,13 @@ def _spatial(have: dict[str, DataFrame], s: Settings) -> DataFrame:
     out = None
     for k, axis in enumerate(("vehicle_x", "vehicle_y")):
         origin = min(p[k] for p in polygon) if polygon else rows.agg(F.min(axis)).first()[0] or 0.0
-        part = spatial.spatial_by_bin(rows, axis, _rates(s), s.bin_size, float(origin))
+        part = spatial.spatial_by_bin(rows, axis, _rates(have, s), s.bin_size, float(origin))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _errors(have: dict[str, DataFrame], s: Settings) -> DataFrame:
-    masses = [r.removesuffix("s") for r in _rates(s)]
+    masses = [c for c in have["spatial"].columns if c.endswith("_g")]
     out = None
     for axis in ("vehicle_x", "vehicle_y"):
         part = spatial.error_pct(have["spatial"].where(F.col("axis") == axis), masses, GT_TAGS).withColumn("axis", F.lit(axis))
@@ -160,6 +176,14 @@ def _errors(have: dict[str, DataFrame], s: Settings) -> DataFrame:
     return out
 
 
+def _summary(have: dict[str, DataFrame], s: Settings) -> DataFrame:
+    parts = [
+        spatial.compare_summary(have["errors"].where(F.col("axis") == axis)).withColumn("axis", F.lit(axis))
+        for axis in ("vehicle_x", "vehicle_y")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 STEPS: dict[str, tuple[Step, list[str]]] = {
     "standard": (_standard, ["fcd"]),
     "neighbours": (_neighbours, ["standard", "links", "lanes"]),
@@ -172,6 +196,7 @@ STEPS: dict[str, tuple[Step, list[str]]] = {
     "intensity": (_intensity, ["matched"]),
     "spatial": (_spatial, ["matched"]),
     "errors": (_errors, ["spatial"]),
+    "summary": (_summary, ["errors"]),
 }
 
 __all__ = ["STEPS", "Pipeline", "Settings"]

@@ -231,6 +231,11 @@ def estimate_dt(spark, sf_dir):
     return kinematics.estimate_dt(traj(spark, sf_dir))
 
 
+@query(with_traj("select min(dt) filter (dt > 0) as dt_min, median(dt) filter (dt > 0) as dt_median, max(dt) filter (dt > 0) as dt_max, count(*) filter (dt <= 0) as dt_nonpos_count from (select timestep_time - lag(timestep_time) over (partition by vehicle_id order by timestep_time) as dt from fx_traj)"))
+def dt_report(spark, sf_dir):
+    return kinematics.dt_report(traj(spark, sf_dir))
+
+
 @query(with_traj("select round(avg(abs(f.a - k.vehicle_accel)), 6) as mae, round(quantile_cont(abs(f.a - k.vehicle_accel), 0.95), 6) as p95 from fa f join kin k using (event_id)", _FWD))
 def accel_check_mae_p95(spark, sf_dir):
     rows = kin(spark, sf_dir).withColumnRenamed("vehicle_accel", "derived")
@@ -328,17 +333,40 @@ def path_compaction(spark, sf_dir):
     return topology.compact_paths(topology.lane_paths(fx(spark, sf_dir, "fx_links")), fx(spark, sf_dir, "fx_lanes"))
 
 
+_EDGES = """steps as (select path_key, unnest(path) as lane_id, generate_subscripts(path, 1) as i from paths),
+st as (select s.*, regexp_replace(s.lane_id, '_[^_]*$', '') as edge_id, l.length from steps s left join fx_lanes l using (lane_id)),
+ch as (select *, case when edge_id = lag(edge_id) over (partition by path_key order by i) then 0 else 1 end as n from st),
+sq as (select *, sum(n) over (partition by path_key order by i rows between unbounded preceding and current row) as seq from ch),
+ed as (select path_key, cast(seq as bigint) as seq, edge_id, sum(length) as length from sq group by 1, 2, 3)"""
 _FLOWS = "flows as (select a.lane_id || '>' || a.next_lane_id as flow_id, regexp_replace(a.lane_id, '_[^_]*$', '') as from_edge, regexp_replace(a.next_lane_id, '_[^_]*$', '') as to_edge, cast((l.k * 37) % 10 as double) as vehs_per_hour from fx_links a join fx_lanes l on l.lane_id = a.lane_id)"
 
 
 @query(f"with {_GRAPH}, {_FLOWS} select from_edge, to_edge, flow_id, vehs_per_hour from flows qualify row_number() over (partition by from_edge, to_edge order by vehs_per_hour desc, flow_id) = 1")
 def max_flow_per_od(spark, sf_dir):
+    return topology.largest_flow(flows_of(spark, sf_dir))
+
+
+def flows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx(spark, sf_dir, "fx_links").join(fx(spark, sf_dir, "fx_lanes"), "lane_id")
-    flows = rows.select(
+    return rows.select(
         F.concat_ws(">", "lane_id", "next_lane_id").alias("flow_id"), expr.edge_of(F.col("lane_id")).alias("from_edge"),
         expr.edge_of(F.col("next_lane_id")).alias("to_edge"), ((F.col("k") * 37) % 10).cast("double").alias("vehs_per_hour"),
     )
-    return topology.largest_flow(flows)
+
+
+@query(f"""with recursive {_GRAPH}, {_PATHS}, {_EDGES}, {_FLOWS},
+pt as (select path_key, string_agg(edge_id, '>' order by seq) as signature, sum(length) as path_len, count(*) as n_edges, arg_min(edge_id, seq) as start_edge, arg_max(edge_id, seq) as end_edge from ed group by 1),
+pu as (select * from pt qualify row_number() over (partition by signature order by path_key) = 1),
+be as (select regexp_replace(lane_id, '_[^_]*$', '') as a, regexp_replace(next_lane_id, '_[^_]*$', '') as b from fx_links),
+od as (select * from flows qualify row_number() over (partition by from_edge, to_edge order by vehs_per_hour desc, flow_id) = 1)
+select signature, path_len, n_edges, start_edge, end_edge, start_edge not in (select b from be where a <> b) as strict_start,
+  end_edge not in (select a from be where a <> b) as strict_end, flow_id
+from pu left join od on od.from_edge = start_edge and od.to_edge = end_edge""")
+def paths_with_flows(spark, sf_dir):
+    links = fx(spark, sf_dir, "fx_links")
+    compact = topology.compact_paths(topology.lane_paths(links), fx(spark, sf_dir, "fx_lanes"))
+    out = topology.path_table(compact, links, flows_of(spark, sf_dir))
+    return out.select("signature", "path_len", "n_edges", "start_edge", "end_edge", "strict_start", "strict_end", "flow_id")
 
 
 @query(with_traj("select v.event_id, oid as following_vehicle_id, round(headway, 6) as headway from fx_traj v left join leader using (event_id)", _GRAPH, _CAND, _LEAD))
@@ -514,6 +542,15 @@ def compare_pivot(spark, sf_dir):
     return spatial.compare_pivot(errors(spark, sf_dir), ["sumo"]).select("pollutant", "axis_bin", F.round("sumo", 4).alias("sumo"))
 
 
+@query(with_stack("select pollutant, data_type, gt_type, count(error_pct) as n_bins, cast(cast(sum(value) as real) as double) as total, cast(cast(sum(gt_value) as real) as double) as gt_total, round(avg(abs(error_pct)), 3) as mean_abs_error_pct, round(max(abs(error_pct)), 3) as max_abs_error_pct from errs group by 1, 2, 3", _EF, _MATCH, _spatial_sql("vehicle_x"), _ERROR))
+def compare_summary(spark, sf_dir):
+    out = spatial.compare_summary(errors(spark, sf_dir))
+    return out.select(
+        *grams("pollutant", "data_type", "gt_type", "n_bins", total="total", gt_total="gt_total"),
+        F.round("mean_abs_error_pct", 3).alias("mean_abs_error_pct"), F.round("max_abs_error_pct", 3).alias("max_abs_error_pct"),
+    )
+
+
 @query(with_stack("select axis_bin, data_type, cast(cast(a as real) as double) as NOx_g from bins order by a desc, axis_bin, data_type limit 10", _EF, _MATCH, _spatial_sql("vehicle_x")))
 def top_emitters_topk(spark, sf_dir):
     sums = spatial.spatial_by_bin(matched(spark, sf_dir), "vehicle_x", RATES, SIZE, ORIGIN)
@@ -634,6 +671,14 @@ def qp_refine_stage1(spark, sf_dir):
     return out.select(*cols("vehicle_id", "trip_id", "timestep_time", speed="vehicle_speed", accel="vehicle_accel"))
 
 
+@query()
+def qp_refine_with_gaps(spark, sf_dir):
+    """Stage one with room to the vehicles ahead and behind."""
+    rows = near(spark, sf_dir).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
+    out = refine.refine_stage_one(kinematics.backward_accel(trips.number_trips(trips.trip_segments(rows))))
+    return out.select(*cols("vehicle_id", "trip_id", "timestep_time", "solved", speed="vehicle_speed", accel="vehicle_accel"))
+
+
 @query()
 def qp_refine_stage2(spark, sf_dir):
     rows = kinematics.backward_accel(trips.number_trips(trips.trip_segments(traj(spark, sf_dir).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,39 @@ def read_elements(spark: SparkSession, path: str, tag: str, attributes: list[str
     return rows.select(*[F.col(f"`_{a}`").alias(a) for a in attributes])
 
 
+def read_flat_xml(spark: SparkSession, path: str, row_tag: str, xsd: str | None = None) -> DataFrame:
+    """XML of any form under row_tag, a row for each innermost element; columns <tag>_<attribute>, sorted, all strings.
+
+    Attributes are found by a pass over the files. Attributes of enclosing elements are repeated in each row, and an
+    element without children still has a row. Children of different tags give rows of their own, with nulls in the
+    others' columns. Text between tags isn't kept. xsd: schema file that the executors can read; elements of row_tag that
+    it doesn't allow raise an error.
+    """
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).option("valueTag", "#text")
+    if xsd:
+        reader = reader.option("rowValidationXSDPath", xsd).option("mode", "FAILFAST")
+    rows = reader.load(path)
+    out = _flat(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")), "row", row_tag) if rows.columns else rows
+    return out.select(*sorted(out.columns))
+
+
+def _flat(rows: DataFrame, element: str, tag: str) -> DataFrame:
+    """rows with the struct column `element` replaced by columns of its attributes and of its children's."""
+    fields = rows.schema[element].dataType.fields
+    others = [F.col(f"`{c}`") for c in rows.columns if c != element]
+    own = [F.col(f"`{element}`.`{f.name}`").alias(f"{tag}_{f.name[1:]}") for f in fields if f.name.startswith("_")]
+    kinds = {f.name: f.dataType for f in fields if not f.name.startswith(("_", "#"))}
+    kinds = {n: k for n, k in kinds.items() if getattr(k, "elementType", k).typeName() == "struct"}
+    if not kinds:
+        return rows.select(*others, *own)
+    parts, child = [], {n: F.col(f"`{element}`.`{n}`") for n in kinds}
+    for n, kind in kinds.items():
+        each = F.explode(child[n] if kind.typeName() == "array" else F.array(child[n]))
+        parts.append(_flat(rows.where(child[n].isNotNull()).select(*others, *own, each.alias("#child")), "#child", n))
+    none = rows.where(reduce(lambda a, b: a & b, [c.isNull() for c in child.values()])).select(*others, *own)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, none])
+
+
 def read_lanes(spark: SparkSession, path: str) -> DataFrame:
     """(lane_id, length)."""
     lanes = read_elements(spark, path, "lane", ["id", "length"])
