@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_dedup, mixing, ngram_join, secrets, sharding, topk, toxicity, warc
+from . import decontam, fill_middle, licenses, line_dedup, mixing, ngram_join, odd_sketch, secrets, sharding, topk, toxicity
+from . import vector_codes, warc
 from .common import table
 
 
@@ -81,6 +82,35 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=["label"])
+    return vector_codes.with_error_by(coded.rows, "label").select(
+        "vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(coded.digest()).alias("codebooks_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_toxic_documents": op1_toxic_documents,
     "op2_exact_top_k": op2_exact_top_k,
@@ -92,6 +122,13 @@ QUERIES = {
     "op8_fuzzy_line_dedup": op8_fuzzy_line_dedup,
     "op9_license_digests": op9_license_digests,
     "op10_minimax_shards": op10_minimax_shards,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_license_digests": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op9_license_digests": licenses.oracle_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_fill_in_middle": fill_middle.oracle_sql(),
+}
