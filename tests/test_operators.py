@@ -161,39 +161,6 @@ def test_aliases_take_pairs_and_any_case(spark):
     assert schema.safe_name(" a b/c ") == "a_b_c" and schema.safe_name("//") == "fcd"
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_stage_one_is_feasible_and_better(seed):
-    rng = np.random.default_rng(seed)
-    v = np.abs(rng.normal(3, 2, 40))
-    v[0] = v[-1] = v[20] = 0
-    limits = refine.Limits()
-    a = refine.stage_one(v, limits)
-    assert a is not None
-    s = v[0] + np.cumsum(a)
-    assert np.abs(a).max() <= limits.a_max + 1e-2 and np.abs(np.diff(a)).max() <= limits.max_step + 1e-2
-    assert s[20] == pytest.approx(0, abs=1e-2) and s.min() > -1e-2 and abs(a[-1]) < 1e-2
-    cost = lambda a, s: 5 * (a**2).sum() + ((s - v) ** 2).sum()
-    assert cost(a, s) <= cost(np.r_[0, np.diff(v)], v) + 1e-6
-
-
-def test_stage_two_stays_in_the_envelope():
-    env = np.array([[x / 10, -3 - 0.04 * x, 3 - 0.04 * x] for x in range(-41, 42)])
-    v = np.abs(np.random.default_rng(2).normal(3, 1, 30))
-    found = refine.stage_two(v, np.r_[0, np.diff(v)], env, refine.Limits())
-    assert found is not None
-    speed, accel = found
-    j = np.diff(accel)
-    assert (j >= np.interp(accel[:-1], env[:, 0], env[:, 1]) - 1e-2).all()
-    assert (j <= np.interp(accel[:-1], env[:, 0], env[:, 2]) + 1e-2).all()
-    assert speed.min() >= 0
-
-
-def test_infeasible_programme_gives_nothing():
-    v = np.array([0.0, 30.0, 0.0, 30.0, 0.0])
-    assert refine.stage_one(np.array([50.0, 0.0]), refine.Limits(steps=500)) is None
-    assert refine.stage_one(v, refine.Limits()) is not None
-
-
 def test_paths_without_entry_lane(spark):
     columns = "lane_id string, next_lane_id string"
     ring = frame(spark, [("a", "b"), ("b", "c"), ("c", "a")], columns)
@@ -221,32 +188,6 @@ def test_path_table_by_hand(spark):
     assert topology.path_table(compact.limit(0), links, flows).collect() == []
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_stage_one_keeps_room(seed):
-    """The vehicle ahead stands still: without the limit the profile would come too near."""
-    rng = np.random.default_rng(seed)
-    v = np.concatenate([[4.0], 4 + rng.uniform(0, 2, 10), [4.0]])
-    x = np.concatenate([[0], np.cumsum((v[:-1] + v[1:]) / 2)])
-    safe, limits = 2.0, refine.Limits()
-    ahead = np.full(len(v), np.nan)
-    behind = np.full(len(v), np.nan)
-    free = refine.stage_one(v, limits)
-    gone = lambda acc: np.concatenate([[0], np.cumsum(((w := v[0] + np.cumsum(acc))[:-1] + w[1:]) / 2)])
-    ahead[5:9] = gone(free)[8] + 1.0 - x[5:9]  # 1 m left in row 8 without the limit
-    a = refine.stage_one(v, limits, ahead, behind, safe)
-    left = lambda acc: ((x + ahead - gone(acc)) - safe - 0.1 * (v[0] + np.cumsum(acc)))[5:9]
-    assert left(free).min() < 0 and left(a).min() > -1e-2
-    behind[:] = 1.0  # nearer than the least room to the vehicle behind, in the first row already
-    assert refine.stage_one(v, limits, ahead, behind, safe) is None
-
-
-def test_refined_trips_are_marked(spark):
-    rows = [("a", 0, float(t), v, 0.0, None, None) for t, v in enumerate([1.0, 2.0, 2.5, 2.0])] + [("b", 0, float(t), v, 0.0, 0.5, None) for t, v in enumerate([10.0, 11.0, 10.0])]
-    df = spark.createDataFrame(rows, "vehicle_id string, trip_id long, timestep_time double, vehicle_speed double, vehicle_accel double, following_headway_distance double, preceding_headway_distance double")
-    got = {(r.vehicle_id, r.solved) for r in refine.refine_stage_one(df).collect()}
-    assert got == {("a", True), ("b", False)}  # b is nearer to the vehicle ahead than it may be at its speed
-
-
 def test_reports_and_sample(spark):
     rows = spark.createDataFrame([("a", 0.0, 80.0), ("a", 1.0, 80.0), ("a", 1.0, 80.0), ("b", 0.0, 80.0), ("b", 3.0, 80.0), (None, 0.0, 1.0)], "vehicle_id string, timestep_time double, vehicle_speed double")
     assert tuple(kinematics.dt_report(rows).first()) == (1.0, 2.0, 3.0, 1)

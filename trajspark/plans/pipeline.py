@@ -103,9 +103,12 @@ def _stage_one(have: dict[str, DataFrame], s: Settings) -> DataFrame:
 
 
 def _refined(have: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """The second stage's rows; refined places are counted from the vehicle's first row, as the simulated odometer is."""
     points = envelope.jerk_points(have["stage_one"], have["jerk_envelope"])
     bad = envelope.bad_cases(points, s.least_pct)
-    return kinematics.trapezoid_odometer(refine.refine_stage_two(have["stage_one"], bad, have["jerk_envelope"]))
+    rows = refine.refine_stage_two(have["stage_one"], bad, have["jerk_envelope"])
+    start = F.first("vehicle_odometer", ignorenulls=True).over(kinematics.upto(kinematics.by_time()))
+    return rows.withColumn("vehicle_odometer", F.col("vehicle_odometer") - start)
 
 
 def _variants(have: dict[str, DataFrame], s: Settings) -> DataFrame:

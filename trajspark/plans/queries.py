@@ -664,24 +664,46 @@ def gt_standardize(spark, sf_dir):
     return gt(spark, sf_dir).select(*cols("vehicle_id", "timestep_time", "vehicle_type", "vehicle_x", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer"))
 
 
+def slow_trips(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = (traj(spark, sf_dir) if rows is None else rows).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
+    return kinematics.backward_accel(trips.number_trips(trips.trip_segments(rows)))
+
+
+REFINED = cols("vehicle_id", "trip_id", "timestep_time", "solved", "reason", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer")
+
+
 @query()
 def qp_refine_stage1(spark, sf_dir):
-    rows = trips.number_trips(trips.trip_segments(traj(spark, sf_dir).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)))
-    out = refine.refine_stage_one(kinematics.backward_accel(rows))
-    return out.select(*cols("vehicle_id", "trip_id", "timestep_time", speed="vehicle_speed", accel="vehicle_accel"))
+    return refine.refine_stage_one(slow_trips(spark, sf_dir)).select(*REFINED)
 
 
 @query()
 def qp_refine_with_gaps(spark, sf_dir):
     """Stage one with room to the vehicles ahead and behind."""
-    rows = near(spark, sf_dir).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
-    out = refine.refine_stage_one(kinematics.backward_accel(trips.number_trips(trips.trip_segments(rows))))
-    return out.select(*cols("vehicle_id", "trip_id", "timestep_time", "solved", speed="vehicle_speed", accel="vehicle_accel"))
+    return refine.refine_stage_one(slow_trips(spark, sf_dir, near(spark, sf_dir))).select(*REFINED)
 
 
 @query()
 def qp_refine_stage2(spark, sf_dir):
-    rows = kinematics.backward_accel(trips.number_trips(trips.trip_segments(traj(spark, sf_dir).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2))))
-    env = fx(spark, sf_dir, "fx_jerk_env")
+    rows, env = slow_trips(spark, sf_dir), fx(spark, sf_dir, "fx_jerk_env")
     bad = envelope.bad_cases(envelope.jerk_points(rows, env))
-    return refine.refine_stage_two(rows, bad, env).select(*cols("vehicle_id", "trip_id", "timestep_time", speed="vehicle_speed", accel="vehicle_accel"))
+    return refine.refine_stage_two(rows, bad, env).select(*REFINED, r6(F.col("gap")).alias("gap"))
+
+
+@query(with_traj("""select vehicle_id, cast(trip_id as bigint) as trip_id, solved, round(case when solved then v0 + a1 else v1 end, 4) + 0e0 as second_speed, round(case when solved then v3 else v2 end, 4) + 0e0 as third_speed
+from (select *, abs(a1) <= 4 and abs(a2) <= 4 and abs(a2 - a1) <= 4 and abs(a2) <= 4 and v0 + a1 between 0 and 20 and v0 <= 20 and v3 <= 20 as solved
+  from (select *, v3 - v0 - a1 as a2 from (select *, v1 + v2 - v0 - v3 as a1 from (
+    select vehicle_id, tid as trip_id, count(*) as n, max(v) filter (where i = 0) as v0, max(v) filter (where i = 1) as v1, max(v) filter (where i = 2) as v2, max(v) filter (where i = 3) as v3
+    from (select vehicle_id, tid, vehicle_speed * 0.2e0 as v, row_number() over (partition by vehicle_id, tid order by timestep_time) - 1 as i from ids)
+    group by 1, 2) where n = 4 and v1 > 0 and v2 > 0)))""", _TRIPS))
+def qp_refine_four_rows(spark, sf_dir):
+    """Trips of four rows that don't stop inside: places, speeds and the end leave one profile, if any."""
+    out = refine.refine_stage_one(slow_trips(spark, sf_dir).withColumn("given", F.col("vehicle_speed")))
+    w = kinematics.by_time("vehicle_id", "trip_id")
+    out = out.withColumn("i", F.row_number().over(w) - 1)
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    short = out.groupBy("vehicle_id", "trip_id").agg(
+        F.count("*").alias("n"), F.max("solved").alias("solved"), at("given", 1).alias("one"), at("given", 2).alias("two"),
+        *[(F.round(at("vehicle_speed", i), 4) + 0.0).alias(c) for i, c in ((1, "second_speed"), (2, "third_speed"))],
+    )
+    return short.where("n = 4 and one > 0 and two > 0").select("vehicle_id", "trip_id", "solved", "second_speed", "third_speed")
