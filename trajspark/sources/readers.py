@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xsd import Attribute, Element, Schema
+
 FCD_ATTRIBUTES = ["id", "x", "y", "type", "speed", "pos", "lane", "acceleration", "odometer"]
 
 
@@ -29,20 +31,47 @@ def read_elements(spark: SparkSession, path: str, tag: str, attributes: list[str
     return rows.select(*[F.col(f"`_{a}`").alias(a) for a in attributes])
 
 
-def read_flat_xml(spark: SparkSession, path: str, row_tag: str, xsd: str | None = None) -> DataFrame:
-    """XML of any form under row_tag, a row for each innermost element; columns <tag>_<attribute>, sorted, all strings.
+def read_flat_xml(
+    spark: SparkSession, path: str, row_tag: str, xsd: str | None = None, typed: bool = False, validate: bool = True
+) -> DataFrame:
+    """XML of any form under row_tag, a row for each innermost element; columns <tag>_<attribute>, sorted.
+
+    Attributes of enclosing elements are repeated in each row, and an element without children still has a row. Children
+    of different tags give rows of their own, with nulls in the others' columns. Text between tags isn't kept.
 
-    Attributes are found by a pass over the files. Attributes of enclosing elements are repeated in each row, and an
-    element without children still has a row. Children of different tags give rows of their own, with nulls in the
-    others' columns. Text between tags isn't kept. xsd: schema file that the executors can read; elements of row_tag that
-    it doesn't allow raise an error.
+    Without `typed` all columns are strings, and attributes are found by a pass over the files. With it, columns come from
+    the schema file without that pass: numbers and truth values have their types (null where a value isn't one),
+    enumerations are the values' positions from 0, and what the schema doesn't name isn't read. xsd: schema file; elements
+    of row_tag that it doesn't allow raise an error, if `validate` (then the executors read the file, too).
     """
     reader = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).option("valueTag", "#text")
-    if xsd:
+    if xsd and validate:
         reader = reader.option("rowValidationXSDPath", xsd).option("mode", "FAILFAST")
+    element = Schema(spark, xsd).element(row_tag) if xsd and typed else None
+    if element is not None:
+        reader = reader.schema(element.spark_type())
     rows = reader.load(path)
     out = _flat(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")), "row", row_tag) if rows.columns else rows
-    return out.select(*sorted(out.columns))
+    if element is not None:
+        kinds = {f"{e.name}_{a.name}": a for e in _elements(element) for a in e.attributes}
+        out = out.select(*[_typed(c, kinds[c]).alias(c) for c in out.columns])
+    return out.select(*[F.col(f"`{c}`") for c in sorted(out.columns)])
+
+
+def read_split_xml(spark: SparkSession, path: str, xsd: str) -> dict[str, DataFrame]:
+    """A typed table for each child tag of the schema's first element."""
+    root = Schema(spark, xsd).element()
+    return {child.name: read_flat_xml(spark, path, child.name, xsd, typed=True, validate=False) for child, _ in root.children}
+
+
+def _elements(element: Element) -> list[Element]:
+    return [element, *[e for child, _ in element.children for e in _elements(child)]]
+
+
+def _typed(column: str, attribute: Attribute) -> Column:
+    if attribute.values is not None:
+        return enum_index(f"`{column}`", attribute.values)
+    return F.trim(F.col(f"`{column}`")).try_cast(attribute.kind) if attribute.kind != "string" else F.col(f"`{column}`")
 
 
 def _flat(rows: DataFrame, element: str, tag: str) -> DataFrame:
@@ -118,7 +147,7 @@ def read_tables(spark: SparkSession, path: str, tag: str | None = None) -> DataF
 
 
 def enum_index(column: str, values: list[str]) -> Column:
-    """Position of an enumerated value from 0; null if it isn't one."""
+    """Position of an enumerated value from 0, as long; null if it isn't one."""
     at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
     return F.when(at > 0, at - 1)
 
