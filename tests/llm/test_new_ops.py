@@ -218,6 +218,22 @@ def test_odd_sketch_estimates(spark):
         assert (max(seen) <= most) if similarity >= 0.8 else (min(seen) > most)
 
 
+@pytest.mark.parametrize("n", [1, 30, 33, 400, 5000])
+def test_parity_of_sets_bounds_their_difference(n):
+    """Bits in the XOR of two set sketches are never more than elements apart, also when the larger one is folded."""
+    r = np.random.default_rng(n)
+    pool = np.unique(r.integers(0, 1 << 63, 3 * n).astype(np.uint64))
+    a, b = pool[:n], pool[n // 10 : n // 10 + int(n * 1.2) + 1]
+    apart = len(np.setxor1d(a, b))
+    words, sizes = odd_sketch.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+    x, y = words[: sizes[0]], words[sizes[0] :]
+    assert 64 * sizes[0] >= 2 * n and sizes[0] & (sizes[0] - 1) == 0
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    bits = sum(int(v).bit_count() for v in x ^ y)
+    assert bits <= apart and bits % 2 == apart % 2 and bits >= 0.6 * apart
+
+
 def test_near_duplicates_odd_tables(spark):
     empty = odd_sketch.near_duplicates(spark.createDataFrame([], DOCS))
     assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
