@@ -23,7 +23,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, text_of, unused
 
 FIRST, MORE = 3, 2  # hex digits of the first ranges and of each split
 CHUNKS = 256  # numbering of slots: parts of each shard
@@ -134,35 +134,36 @@ def shard_by_bytes(
     text = text_of(text_col)
     own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*kept).select(
-        "*", F.md5(text).alias("_key"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size")
+    key, chunk, before, at = (unused(docs, name) for name in ("key", "chunk", "before", "at"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept]).select(
+        "*", F.md5(text).alias(key), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size")
     )
     groups = materialize(
-        keyed.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size")), "groups"
+        keyed.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("size")), "groups"
     )
     cuts, _ = minimax_cuts(groups, shards)
     shard = F.lit(0)
     for cut in cuts:
-        shard = shard + (F.substring("_key", 1, len(cut)) > F.lit(cut)).cast("int")
+        shard = shard + (F.substring(key, 1, len(cut)) > F.lit(cut)).cast("int")
     placed = keyed.select(
         "*",
         F.crc32(text).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         shard.cast("int").alias("shard"),
-        F.pmod(F.xxhash64(id_col), F.lit(CHUNKS)).cast("int").alias("_chunk"),
+        F.pmod(F.xxhash64(id_col, key), F.lit(CHUNKS)).cast("int").alias(chunk),
     )
-    counts = placed.groupBy("shard", "_chunk").count()
+    counts = placed.groupBy("shard", chunk).count()
     offsets = counts.select(
         "shard",
-        "_chunk",
-        (F.sum("count").over(Window.partitionBy("shard").orderBy("_chunk")) - F.col("count")).alias("_before"),
+        chunk,
+        (F.sum("count").over(Window.partitionBy("shard").orderBy(chunk)) - F.col("count")).alias(before),
     )
-    row = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy(id_col, "_key")) - 1
+    row = F.row_number().over(Window.partitionBy("shard", chunk).orderBy(id_col, key)) - 1
     # offsets: shards x CHUNKS rows at most, whatever the input
     return (
-        placed.withColumn("_row", row)
-        .join(F.broadcast(offsets), ["shard", "_chunk"])
-        .withColumn("slot", (F.col("_before") + F.col("_row")).cast("long"))
+        placed.withColumn(at, row)
+        .join(F.broadcast(offsets), ["shard", chunk])
+        .withColumn("slot", (F.col(before) + F.col(at)).cast("long"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .select(*kept, *own)
+        .select(*[F.col(f"`{c}`") for c in kept], *own)
     )
