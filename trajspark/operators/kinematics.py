@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles, most_frequent
+
 VID, T, V, A = "vehicle_id", "timestep_time", "vehicle_speed", "vehicle_accel"
 
 
@@ -76,11 +78,10 @@ def estimate_dt(df: DataFrame) -> DataFrame:
     mode: of steps rounded to 6 digits, lowest on ties. dt is the mode if it agrees with the median, else the median.
     """
     steps = df.select(step_back(by_time()).alias("step")).where("step > 0")
-    found = steps.agg(
-        F.count("step").alias("n"),
-        F.median("step").alias("median"),
-        F.mode(F.round("step", 6), True).alias("mode"),
-    )
+    (median,) = exact_percentiles(steps, "step", [0.5])
+    mode = most_frequent(steps, F.round("step", 6)).select(F.col("value").alias("mode"))
+    found = steps.agg(F.count("step").alias("n")).withColumn("median", F.lit(median).cast("double"))
+    found = found.join(mode, how="left", on=F.lit(True))
     dt = F.when(F.abs(F.col("mode") - F.col("median")) <= 1e-6, F.col("mode")).otherwise(F.col("median"))
     return found.withColumn("dt", F.coalesce(dt, F.lit(1.0)))
 
@@ -88,7 +89,8 @@ def estimate_dt(df: DataFrame) -> DataFrame:
 def accel_check(df: DataFrame, given: str, derived: str) -> DataFrame:
     """(mae, p95) of the given acceleration against the derived one."""
     gap = F.abs(F.col(given) - F.col(derived))
-    return df.agg(F.avg(gap).alias("mae"), F.percentile(gap, 0.95).alias("p95"))
+    (p95,) = exact_percentiles(df, gap, [0.95])
+    return df.agg(F.avg(gap).alias("mae")).withColumn("p95", F.lit(p95).cast("double"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -122,11 +124,10 @@ def standardise_fcd(df: DataFrame, dt_first: float = 1.0) -> DataFrame:
 def dt_report(df: DataFrame) -> DataFrame:
     """(dt_min, dt_median, dt_max, dt_nonpos_count): steps between a vehicle's rows; the first three of positive steps."""
     steps = df.select((F.col(T) - F.lag(T).over(by_time())).alias("dt"))
+    (median,) = exact_percentiles(steps.where("dt > 0"), "dt", [0.5])
     up = F.when(F.col("dt") > 0, F.col("dt"))
-    return steps.agg(
-        F.min(up).alias("dt_min"), F.median(up).alias("dt_median"), F.max(up).alias("dt_max"),
-        F.count_if(F.col("dt") <= 0).alias("dt_nonpos_count"),
-    )
+    found = steps.agg(F.min(up).alias("dt_min"), F.max(up).alias("dt_max"), F.count_if(F.col("dt") <= 0).alias("dt_nonpos_count"))
+    return found.withColumn("dt_median", F.lit(median).cast("double")).select("dt_min", "dt_median", "dt_max", "dt_nonpos_count")
 
 
 def sample_vehicles(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

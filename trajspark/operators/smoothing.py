@@ -31,20 +31,27 @@ def coefficients(window: int, order: int) -> np.ndarray:
 
 
 def _fitted(v: str, n: Column, i: Column, ordered, window: int, order: int) -> Column:
-    """Least-squares fit at row i of n: in the middle of its window, or off it near the ends."""
-    near = {k: (F.lead(v, k).over(ordered) if k > 0 else F.lag(v, -k).over(ordered) if k else F.col(v)) for k in range(1 - window, window)}
-    value = F.col(v)
-    for w in sorted({window_for(m, window, order) for m in range(1, window + 2)} - {0}):
-        sizes = [m for m in range(1, window + 2) if window_for(m, window, order) == w]
-        fits = n >= min(sizes) if w == window_for(10**6, window, order) else n.between(min(sizes), max(sizes))
-        half, weights = w // 2, coefficients(w, order)
-        at = F.when(i < half, i).when(i >= n - half, i - n + w).otherwise(F.lit(half))
-        inner = None
-        for row in range(w):
-            dot = sum((F.lit(float(weights[row, j])) * near[j - row] for j in range(w)), F.lit(0.0))
-            inner = F.when(at == row, dot) if inner is None else inner.when(at == row, dot)
-        value = F.when(fits, inner).otherwise(value)
-    return value
+    """Least-squares fit at row i of n: in the middle of its window, or off it near the ends.
+
+    The values around a row come as one array, and its weights as a row of a table of all windows and places in them; so
+    a row costs one dot product, whatever its place.
+    """
+    reach = window_for(10**6, window, order) - 1
+    around = F.collect_list(v).over(ordered.rowsBetween(-reach, reach))
+    sizes = {m: window_for(m, window, order) for m in range(1, reach + 2)}
+    size = F.element_at(F.array(*[F.lit(sizes[m]) for m in sorted(sizes)]), F.least(n, F.lit(reach + 1)).cast("int"))
+    half = F.floor(size / 2).cast("int")
+    at = F.when(i < half, i).when(i >= n - half, i - n + size).otherwise(half).cast("int")
+    known = sorted(set(sizes.values()) - {0})
+    table, begin = [], {}
+    for w in known:
+        begin[w] = len(table)
+        table += [[float(c) for c in row] for row in coefficients(w, order)]
+    first = F.element_at(F.array(*[F.lit(begin.get(w, 0)) for w in range(max(known, default=0) + 1)]), size + 1)
+    weights = F.element_at(F.lit(table), first + at + 1)
+    values = F.slice(around, F.least(i, F.lit(reach)).cast("int") - at + 1, size)
+    dot = F.aggregate(F.zip_with(values, weights, lambda x, c: x * c), F.lit(0.0), lambda total, x: total + x)
+    return F.when(size > 0, dot).otherwise(F.col(v)) if known else F.col(v)
 
 
 def _forward(v: str, ordered) -> Column:

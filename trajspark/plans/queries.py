@@ -272,12 +272,12 @@ def trip_segments(spark, sf_dir):
 
 @query(with_traj("select event_id, cast(tid as bigint) as trip_id from ids", _TRIPS))
 def global_trip_id(spark, sf_dir):
-    return trips.number_trips(trips.trip_segments(traj(spark, sf_dir))).select("event_id", "trip_id")
+    return trips.numbered_trips(traj(spark, sf_dir)).select("event_id", "trip_id")
 
 
 @query(with_traj("select event_id, copy, cast(trip_id as bigint) as trip_id from dup", _TRIPS))
 def sandwich_duplicate(spark, sf_dir):
-    return trips.duplicate_boundaries(trips.number_trips(trips.trip_segments(traj(spark, sf_dir)))).select("event_id", "copy", "trip_id")
+    return trips.duplicate_boundaries(trips.numbered_trips(traj(spark, sf_dir))).select("event_id", "copy", "trip_id")
 
 
 @query(with_traj("select event_id, copy, cast(trip_id as bigint) as trip_id, round(vehicle_accel, 6) as accel, round(vehicle_jerk, 6) as jerk, round(vehicle_odometer, 6) as odometer from tk", _TRIPS, _TK))
@@ -570,7 +570,7 @@ cases as (select vehicle_id, trip_id, count(*) as n_points, count(*) filter (whe
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trips.number_trips(trips.trip_segments(traj(spark, sf_dir)))
+    rows = trips.numbered_trips(traj(spark, sf_dir))
     rows = kinematics.backward_accel(rows.withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2))
     return envelope.jerk_points(rows, fx(spark, sf_dir, "fx_jerk_env"))
 
@@ -615,15 +615,17 @@ def stage_overwrite_all3(spark, sf_dir):
 # ---- smoothing
 
 
-def _weights_sql() -> str:
-    rows = []
-    for w in (5, 7, 9, 11):
-        c = smoothing.coefficients(w, 2)
-        rows += [f"({w}, {i}, {j}, {float(c[i, j])!r}e0)".replace("e-", "E-").replace("e0)", "e0)") for i in range(w) for j in range(w)]
-    return ", ".join(r if "E-" not in r else r.replace("e0)", ")") for r in rows)
+#: weights of a quadratic fit to m points x = -h..h, at point x0, for point x: with the sums s0 = m, s2 and s4 of x^0, x^2
+#: and x^4, they are (s4 - s2 (x0^2 + x^2) + s0 x0^2 x^2) / (s0 s4 - s2^2) + x0 x / s2
+_WEIGHTS = """ws(w) as (values (5), (7), (9), (11)),
+wx as (select w, unnest(range(-(w // 2), w // 2 + 1)) as x from ws),
+wm as (select w, count(*) as s0, sum(x * x)::double as s2, sum(x * x * x * x)::double as s4 from wx group by w),
+sc as (select a.w, a.x + a.w // 2 as i, b.x + b.w // 2 as j,
+  (s4 - s2 * (a.x * a.x + b.x * b.x) + s0 * a.x * a.x * b.x * b.x) / (s0 * s4 - s2 * s2) + a.x * b.x / s2 as c
+  from wx a join wx b on a.w = b.w join wm on wm.w = a.w)"""
 
 
-_SG = f"""sc(w, i, j, c) as (values {_weights_sql()}),
+_SG = f"""{_WEIGHTS},
 sb as (select *, row_number() over {_WT} - 1 as i, count(*) over (partition by vehicle_id, trip_id) as n from (select vehicle_id, tid as trip_id, timestep_time, event_id, vehicle_speed as v from ids)),
 so as (select *, sum(v) over (partition by vehicle_id order by timestep_time rows between unbounded preceding and current row) as odo, case when n >= 11 then 11 when n >= 9 then 9 when n >= 7 then 7 when n >= 5 then 5 else 0 end as w from sb),
 sw as (select *, case when i < w // 2 then i when i >= n - w // 2 then i - n + w else w // 2 end as at from so),
@@ -640,7 +642,7 @@ sm as (select vehicle_id, trip_id, timestep_time, case when span > 0 then r2 els
 
 
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trips.number_trips(trips.trip_segments(traj(spark, sf_dir)))
+    rows = trips.numbered_trips(traj(spark, sf_dir))
     w = kinematics.upto(kinematics.by_time())
     return smoothing.smooth_trips(rows.withColumn("vehicle_odometer", F.sum("vehicle_speed").over(w)))
 
@@ -666,7 +668,7 @@ def gt_standardize(spark, sf_dir):
 
 def slow_trips(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     rows = (traj(spark, sf_dir) if rows is None else rows).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
-    return kinematics.backward_accel(trips.number_trips(trips.trip_segments(rows)))
+    return kinematics.backward_accel(trips.numbered_trips(rows, vehicles=traj(spark, sf_dir)))
 
 
 REFINED = cols("vehicle_id", "trip_id", "timestep_time", "solved", "reason", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer")
