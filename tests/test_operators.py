@@ -131,7 +131,7 @@ def test_bins_like_metres(spark):
 def test_paths_stop_at_cycles(spark):
     links = frame(spark, [("s", "a"), ("a", "b"), ("b", "a"), ("b", "t")], "lane_id string, next_lane_id string")
     got = {tuple(r.path) for r in topology.lane_paths(links).collect()}
-    assert got == {("s", "a", "b", "t")}
+    assert got == {("s", "a", "b", "t"), ("s", "a", "b")}  # a way back to a ends one path at b, the other link goes on
     loop = frame(spark, [("s", "a"), ("a", "b"), ("b", "a")], "lane_id string, next_lane_id string")
     assert {tuple(r.path) for r in topology.lane_paths(loop).collect()} == {("s", "a", "b")}
 
@@ -169,10 +169,41 @@ def test_paths_without_entry_lane(spark):
     assert {tuple(r.path) for r in topology.lane_paths(exits).collect()} == {("b", "c", "a"), ("b", "x"), ("x",)}
 
 
-def test_long_paths_are_cut(spark):
-    links = spark.createDataFrame([(f"l{k}", f"l{k + 1}") for k in range(9)], "lane_id string, next_lane_id string")
-    assert [list(r.path) for r in topology.lane_paths(links, max_length=4).collect()] == [["l0", "l1", "l2", "l3"]]
-    assert len(topology.lane_paths(links, max_length=10).first().path) == 10
+def test_paths_like_a_search(spark):
+    """All paths of random graphs with cycles, against a search lane by lane."""
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        links = sorted({(f"l{a}", f"l{b}") for a, b in r.integers(0, 7, (11, 2)) if a != b})
+        ways: dict[str, list[str]] = {}
+        for a, b in links:
+            ways.setdefault(a, []).append(b)
+        lanes = sorted({x for pair in links for x in pair})
+        n_in = {x: sum(b == x for _, b in links) for x in lanes}
+        starts = [x for x in lanes if not n_in[x]] or [x for x in lanes if (n_in[x], len(ways.get(x, []))) != (1, 1)] or lanes
+        expected, open_ways = set(), [(s,) for s in starts]
+        while open_ways:
+            path = open_ways.pop()
+            new = [n for n in ways.get(path[-1], []) if n not in path]
+            if len(new) < len(ways.get(path[-1], [])) or not new:
+                expected.add(path)
+            open_ways += [(*path, n) for n in new]
+        got = [tuple(x.path) for x in topology.lane_paths(frame(spark, links, "lane_id string, next_lane_id string")).collect()]
+        assert sorted(got) == sorted(expected)
+
+
+def test_paths_beyond_a_recursions_rows(spark):
+    """A ladder of 17 steps has 2^17 ways of 18 lanes: far more rows than one recursive query may have."""
+    links = [(f"{k}{a}", f"{k + 1}{b}") for k in range(17) for a in "xy" for b in "xy"] + [("s", "0x")]
+    paths = topology.lane_paths(frame(spark, links, "lane_id string, next_lane_id string"), hops=6).where("path[0] = 's'")
+    assert tuple(paths.agg(F.count("*"), F.count_if("cut"), F.min(F.size("path")), F.count_distinct("path")).first()) == (1 << 17, 0, 19, 1 << 17)
+
+
+def test_cut_paths_are_marked(spark):
+    links = spark.createDataFrame([(f"l{k}", f"l{k + 1}") for k in range(300)], "lane_id string, next_lane_id string")
+    assert [(len(r.path), r.cut) for r in topology.lane_paths(links, hops=60).collect()] == [(301, False)]
+    fork = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("b", "e"), ("d", "f")], "lane_id string, next_lane_id string")
+    got = {("".join(r.path), r.cut) for r in topology.lane_paths(fork, max_paths=2, hops=2).collect()}
+    assert got == {("ac", False), ("abd", True), ("abe", True)}
 
 
 def test_path_table_by_hand(spark):
@@ -182,6 +213,7 @@ def test_path_table_by_hand(spark):
     flows = spark.createDataFrame([("f", "a", "b", 1.0), ("g", "a", "b", 2.0)], "flow_id string, from_edge string, to_edge string, vehs_per_hour double")
     compact = topology.compact_paths(topology.lane_paths(links), lengths)
     rows = topology.path_table(compact, links, flows).collect()
+    assert [r.path_no for r in rows] == [0]
     assert [(r.signature, r.path_len, r.n_edges, r.strict_start, r.strict_end, r.from_edge, r.to_edge, r.flow_id) for r in rows] == [
         ("a>:j_0>b", 16.0, 3, True, True, "a", "b", "g")
     ]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajspark.functions.numbering import dense_numbers, id_bounds, range_of
 from trajspark.functions.quantiles import exact_percentiles, most_frequent
 from trajspark.operators import trips
 
@@ -44,8 +45,8 @@ def test_numbers_of_many_ids_of_one_beginning(spark):
     got = trips.number_trips(ids, per).toPandas().sort_values(["vehicle_id", "segment"])
     assert got.trip_id.tolist() == list(range(1, len(got) + 1))
     keys = ids.select("vehicle_id").distinct()
-    bounds = trips.id_bounds(keys, "vehicle_id", per)
-    sizes = keys.groupBy(trips._range_of(F.col("vehicle_id"), bounds, 0, len(bounds)).alias("r")).count().toPandas()["count"]
+    bounds = id_bounds(keys, "vehicle_id", per)
+    sizes = keys.groupBy(range_of(F.col("vehicle_id"), bounds).alias("r")).count().toPandas()["count"]
     assert len(sizes) == n // per and sizes.max() <= 2 * per
 
 
@@ -55,3 +56,9 @@ def test_numbers_of_few_ids(spark):
         got = {(r.vehicle_id, r.segment, r.trip_id) for r in trips.number_trips(df, per).collect()}
         assert got == {("a", 1, 1), ("a", 2, 2), ("b", 1, 3), ("é", 1, 4)}
     assert trips.number_trips(df.limit(0)).count() == 0
+
+
+def test_dense_numbers(spark):
+    values = [f"x{k}" for k in np.random.default_rng(0).integers(0, 500, 900)]
+    got = dense_numbers(spark.createDataFrame([(v,) for v in values], "v string"), "v", 50).collect()
+    assert {(r.v, r.number) for r in got} == {(v, k) for k, v in enumerate(sorted(set(values)), 1)} and len(got) == len(set(values))

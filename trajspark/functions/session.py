@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -21,3 +23,22 @@ def ship(spark: SparkSession) -> None:
         at = tempfile.mkdtemp(prefix="trajspark-zip-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/{top.name}", "zip", top.parent, top.name))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed and kept in the session's checkpoint folder; a local master without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            known = tempfile.mkdtemp(prefix="trajspark-checkpoint-")
+            atexit.register(shutil.rmtree, known, ignore_errors=True)
+        context.setCheckpointDir(known)
+    return df.checkpoint()
+
+
+def hinted(df: DataFrame, most_rows: int, limit: int = 200_000) -> DataFrame:
+    """df with a broadcast hint where it has at most most_rows rows and these are few; else the optimiser decides."""
+    return F.broadcast(df) if most_rows <= limit else df

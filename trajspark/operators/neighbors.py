@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import hinted
 from .kinematics import T, V, VID
-from .topology import lane_candidates
+from .topology import lane_candidates, most_candidates
 
 SEEN = ("vehicle_id", "flow_pos", "vehicle_speed", "vehicle_lane")
 
@@ -33,14 +34,16 @@ def neighbours(df: DataFrame, links: DataFrame, lengths: DataFrame, hops: int =
     from ..functions.expr import edge_of
 
     lanes = lane_candidates(links, lengths, hops)
-    base = df.join(F.broadcast(lengths.select(F.col("lane_id").alias("vehicle_lane"), F.col("length").alias("lane_length"))), "vehicle_lane", "left")
+    most = most_candidates(links, lengths, hops)  # of a town few, of a country too many to send everywhere
+    own = lengths.select(F.col("lane_id").alias("vehicle_lane"), F.col("length").alias("lane_length"))
+    base = df.join(hinted(own, most), "vehicle_lane", "left")
     base = base.withColumn("vehicle_edge", edge_of(F.col("vehicle_lane"))).withColumn("_lane", F.col("vehicle_lane")).withColumn("_pos", F.col("vehicle_pos")).withColumn("_tie", F.col(VID))
     here = df.select(T, F.col("vehicle_lane").alias("_lane")).distinct()
     for ahead, prefix in ((True, "following_"), (False, "preceding_")):
         sign = 1 if ahead else -1
         moved = (
             df.select(T, VID, V, "vehicle_lane", "vehicle_pos")
-            .join(F.broadcast(lanes.where(F.col("ahead") == ahead)), F.col("vehicle_lane") == F.col("candidate"))
+            .join(hinted(lanes.where(F.col("ahead") == ahead), most), F.col("vehicle_lane") == F.col("candidate"))
             .select(
                 T,
                 F.col("lane_id").alias("_lane"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import id_bounds, range_of, sums_before
 from .kinematics import T, V, VID, by_time, trip_kinematics, upto
 
 
@@ -38,20 +39,6 @@ def trip_segments(df: DataFrame, eps: float = 0.0) -> DataFrame:
     )
 
 
-def id_bounds(keys: DataFrame, column: str, per_range: int, sample_per_range: int = 32) -> list[str]:
-    """Ascending ids that cut the distinct ids of keys into ranges of about per_range each.
-
-    They come from a sample that a hash of the id decides, so reruns agree; the driver sees sample_per_range ids a range.
-    """
-    n = keys.count()
-    ranges = -(-n // per_range)
-    if ranges <= 1:
-        return []
-    every = max(1, n // (ranges * sample_per_range))
-    sample = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0).select(column).collect())
-    return sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-
-
 def numbered_trips(rows: DataFrame, eps: float = 0.0, vehicles: DataFrame | None = None) -> DataFrame:
     """trip_segments of the rows with trip_id. vehicles: a table that has all their ids and is cheap to read."""
     return number_trips(trip_segments(rows, eps), vehicles=rows if vehicles is None else vehicles)
@@ -66,27 +53,13 @@ def number_trips(df: DataFrame, per_range: int = 200_000, vehicles: DataFrame |
     trips = df.select(VID, "segment").distinct()
     own = trips.withColumn("_own", F.row_number().over(Window.partitionBy(VID).orderBy("segment")))
     bounds = id_bounds((df if vehicles is None else vehicles).select(VID).distinct(), VID, per_range)
-    # the number of bounds at or before an id, by halving
-    part = _range_of(F.col(VID), bounds, 0, len(bounds))
-    counts = trips.groupBy(VID).count().withColumn("_range", part)
-    ranges = counts.groupBy("_range").agg(F.sum("count").alias("_n"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(VID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_in", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(ranges, "_range")
-    offsets = offsets.select(VID, (F.col("_before") + F.col("_in")).alias("_off"))
+    part = range_of(F.col(VID), bounds)
+    counts = trips.groupBy(VID).agg(F.count("*").alias("_count")).withColumn("_range", part)
+    offsets = sums_before(counts, VID, "_count", "_range").select(VID, F.col("before").alias("_off"))
     ids = own.join(offsets, VID).select(VID, "segment", (F.col("_off") + F.col("_own")).cast("long").alias("trip_id"))
     return df.join(ids, [VID, "segment"])
 
 
-def _range_of(x: Column, bounds: list[str], low: int, high: int) -> Column:
-    """How many of bounds[low:high] are at or before x, and low."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(x < F.lit(bounds[mid]), _range_of(x, bounds, low, mid)).otherwise(_range_of(x, bounds, mid + 1, high))
-
-
 def duplicate_boundaries(df: DataFrame) -> DataFrame:
     """A stopped row between two driving rows appears twice; its copy (copy = 1) belongs to the trip before."""
     w = by_time()

@@ -314,7 +314,8 @@ def lane_candidates_2hop(spark, sf_dir):
 
 _PATHS = """walk(path, lane) as (select [lane_id], lane_id from fx_lanes where lane_id not in (select next_lane_id from fx_links)
   union all select list_append(w.path, k.next_lane_id), k.next_lane_id from walk w join fx_links k on k.lane_id = w.lane where not list_contains(w.path, k.next_lane_id)),
-paths as (select distinct array_to_string(path, '>') as path_key, path from walk w where not exists (select 1 from fx_links k where k.lane_id = w.lane and not list_contains(w.path, k.next_lane_id)))"""
+paths as (select distinct array_to_string(path, '>') as path_key, path from walk w where not exists (select 1 from fx_links k where k.lane_id = w.lane)
+  or exists (select 1 from fx_links k where k.lane_id = w.lane and list_contains(w.path, k.next_lane_id)))"""
 
 
 @query(f"with recursive {_GRAPH}, {_PATHS} select path_key from paths")
@@ -359,14 +360,14 @@ pt as (select path_key, string_agg(edge_id, '>' order by seq) as signature, sum(
 pu as (select * from pt qualify row_number() over (partition by signature order by path_key) = 1),
 be as (select regexp_replace(lane_id, '_[^_]*$', '') as a, regexp_replace(next_lane_id, '_[^_]*$', '') as b from fx_links),
 od as (select * from flows qualify row_number() over (partition by from_edge, to_edge order by vehs_per_hour desc, flow_id) = 1)
-select signature, path_len, n_edges, start_edge, end_edge, start_edge not in (select b from be where a <> b) as strict_start,
+select dense_rank() over (order by signature) - 1 as path_no, signature, path_len, n_edges, start_edge, end_edge, start_edge not in (select b from be where a <> b) as strict_start,
   end_edge not in (select a from be where a <> b) as strict_end, flow_id
 from pu left join od on od.from_edge = start_edge and od.to_edge = end_edge""")
 def paths_with_flows(spark, sf_dir):
     links = fx(spark, sf_dir, "fx_links")
     compact = topology.compact_paths(topology.lane_paths(links), fx(spark, sf_dir, "fx_lanes"))
     out = topology.path_table(compact, links, flows_of(spark, sf_dir))
-    return out.select("signature", "path_len", "n_edges", "start_edge", "end_edge", "strict_start", "strict_end", "flow_id")
+    return out.select("path_no", "signature", "path_len", "n_edges", "start_edge", "end_edge", "strict_start", "strict_end", "flow_id")
 
 
 @query(with_traj("select v.event_id, oid as following_vehicle_id, round(headway, 6) as headway from fx_traj v left join leader using (event_id)", _GRAPH, _CAND, _LEAD))
@@ -390,7 +391,7 @@ def neighbors_full(spark, sf_dir):
 @query(with_traj("select event_id, length as lane_length from fx_traj left join fx_lanes on lane_id = vehicle_lane", _GRAPH))
 def lane_length_join(spark, sf_dir):
     lanes = fx(spark, sf_dir, "fx_lanes").select(F.col("lane_id").alias("vehicle_lane"), F.col("length").alias("lane_length"))
-    return traj(spark, sf_dir).join(F.broadcast(lanes), "vehicle_lane", "left").select("event_id", "lane_length")
+    return traj(spark, sf_dir).join(lanes, "vehicle_lane", "left").select("event_id", "lane_length")
 
 
 @query(f"with {_GRAPH} select k.lane_id, k.next_lane_id, a.length as lane_length, b.length as next_lane_length from fx_links k left join fx_lanes a on a.lane_id = k.lane_id left join fx_lanes b on b.lane_id = k.next_lane_id")
@@ -398,6 +399,29 @@ def link_lengths(spark, sf_dir):
     return topology.link_lengths(fx(spark, sf_dir, "fx_links"), fx(spark, sf_dir, "fx_lanes")).select("lane_id", "next_lane_id", "lane_length", "next_lane_length")
 
 
+@query(f"with {_GRAPH} select n.lane_id, k.next_lane_id, n.length as lane_length, b.length as next_lane_length from fx_lanes n left join fx_links k on k.lane_id = n.lane_id left join fx_lanes b on b.lane_id = k.next_lane_id")
+def lane_table_ordered(spark, sf_dir):
+    return topology.lane_table(fx(spark, sf_dir, "fx_links"), fx(spark, sf_dir, "fx_lanes"))
+
+
+_CONNECTIONS = """cn as (select regexp_replace(lane_id, '_[^_]*$', '') as f, regexp_replace(next_lane_id, '_[^_]*$', '') as t, regexp_replace(lane_id, '^.*_', '') as fl,
+  regexp_replace(next_lane_id, '^.*_', '') as tl, case when lane_id < next_lane_id then ':' || lane_id || next_lane_id end as via from fx_links)"""
+
+
+@query(f"""with {_GRAPH}, {_CONNECTIONS}
+select f || '_' || fl as lane_id, t || '_' || tl as next_lane_id from cn where via is null union select f || '_' || fl, via from cn where via is not null
+union select via, t || '_' || tl from cn where via is not null""")
+def via_links(spark, sf_dir):
+    """Links out of connections, of which some lead over an internal lane."""
+    rows, lane, to = fx(spark, sf_dir, "fx_links"), F.col("lane_id"), F.col("next_lane_id")
+    number = lambda x: F.substring_index(x, "_", -1)
+    via = F.when(lane < to, F.concat(F.lit(":"), lane, to))
+    connections = rows.select(
+        expr.edge_of(lane).alias("from"), expr.edge_of(to).alias("to"), number(lane).alias("fromLane"), number(to).alias("toLane"), via.alias("via")
+    )
+    return topology.lane_links(connections)
+
+
 @query(f"with {_GRAPH} select lane_id, cast(sum(i) as bigint) as n_in, cast(sum(o) as bigint) as n_out from (select next_lane_id as lane_id, 1 as i, 0 as o from fx_links union all select lane_id, 0, 1 from fx_links) group by 1")
 def lane_degrees(spark, sf_dir):
     return topology.degrees(fx(spark, sf_dir, "fx_links"))
@@ -666,6 +690,14 @@ def gt_standardize(spark, sf_dir):
     return gt(spark, sf_dir).select(*cols("vehicle_id", "timestep_time", "vehicle_type", "vehicle_x", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer"))
 
 
+@query(with_traj(f"""select vehicle_id, timestep_time, round(coalesce((lead(vehicle_speed) over {W} - vehicle_speed) / 1e0, 0e0), 6) as accel,
+ round(sum(coalesce(0.5e0 * (vehicle_speed + lag_v) * (timestep_time - lag_t), 0e0)) over {UPTO}, 6) as odometer
+from (select *, lag(vehicle_speed) over {W} as lag_v, lag(timestep_time) over {W} as lag_t from fx_traj)"""))
+def missing_kinematics(spark, sf_dir):
+    out = kinematics.fill_missing_kinematics(traj(spark, sf_dir), 1.0, accel=True, odometer=True)
+    return out.select(*cols("vehicle_id", "timestep_time", accel="vehicle_accel", odometer="vehicle_odometer"))
+
+
 def slow_trips(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     rows = (traj(spark, sf_dir) if rows is None else rows).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
     return kinematics.backward_accel(trips.numbered_trips(rows, vehicles=traj(spark, sf_dir)))
