@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajspark.plans import pipeline
 from trajspark.plans.fixtures import fx
 from trajspark.plans.pipeline import Pipeline, Settings
-from trajspark.sources import readers
+from trajspark.sources import readers, resources
 from trajspark.streaming.online import online_kinematics, windowed_counts
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,11 @@ def test_pipeline_runs_and_resumes(spark, tmp_path):
     skipped = Pipeline(spark, str(tmp_path / "few")).run({"fcd": inputs["fcd"]}, only=["standard", "neighbours"])
     assert "standard" in skipped and "neighbours" not in skipped
     assert Settings(roi="1,2", bin_size=0).validate()
+    assert have["variants"].columns[:9] == [*pipeline.VARIANT, "data_type"] and {"vehicle_lane", "reason"} <= set(have["variants"].columns)
+    trips = have["trips"].where("copy = 0").groupBy("vehicle_id", "trip_id").agg(F.max_by("vehicle_odometer", "timestep_time").alias("end"))
+    ends = have["stage_one"].where("solved").groupBy("vehicle_id", "trip_id").agg(F.max_by("vehicle_odometer", "timestep_time").alias("refined"))
+    apart = trips.join(ends, ["vehicle_id", "trip_id"]).agg(F.count("*"), F.max(F.abs(F.col("end") - F.col("refined")))).first()
+    assert apart[0] > 10 and apart[1] < 1e-3  # refined trips end where they did
 
 
 def test_streams(spark, tmp_path):
@@ -140,3 +145,41 @@ def test_times_and_pollutants_of_the_settings(spark):
     left = pipeline._in_roi({"matched": df}, Settings(sim_time=(2.0, None), gt_time=(None, 0.0)))
     assert sorted((r.data_type, r.timestep_time) for r in left.collect()) == [("ground_truth", 0.0), ("sumo", 2.0), ("sumo", 3.0)]
     assert pipeline._rates({"matched": df}, Settings(pollutants=())) == ["NOx_gs", "HC_gs"]
+
+
+def _small_inputs(spark):
+    traj = fx(spark, SF, "fx_traj").where(F.col("vehicle_id").isin("1", "2")).withColumn("vehicle_speed", F.col("vehicle_speed") * 0.2)
+    return {"fcd": traj, "links": fx(spark, SF, "fx_links"), "lanes": fx(spark, SF, "fx_lanes"), "factors": fx(spark, SF, "fx_ef")}
+
+
+def test_clean_up_leaves_results(spark, tmp_path):
+    """Folders go when their last reader is done; a resume that needs one says so, and from where it can begin."""
+    out = tmp_path / "out"
+    plan = Pipeline(spark, str(out))
+    inputs = _small_inputs(spark)
+    have = plan.run(inputs, manifest=str(tmp_path / "log.json"), keep_intermediate=False)
+    assert {p.name for p in out.iterdir()} == pipeline.RESULTS
+    assert have["intensity"].count() > 0 and "trips" not in have
+    n = have["summary"].count()
+    log = json.loads((tmp_path / "log.json").read_text())
+    assert {x["step"]: x["after"] for x in log if x["status"] == "removed"} == {
+        "standard": "variants", "neighbours": "trips", "trips": "stage_one", "smooth": "variants", "stage_one": "variants", "variants": "matched",
+    }
+    again = plan.run(inputs, resume_from="intensity", keep_intermediate=False)
+    assert again["summary"].count() == n and {p.name for p in out.iterdir()} == pipeline.RESULTS
+    with pytest.raises(ValueError, match="can't resume from variants: the folders of standard aren't there.*resume from standard"):
+        plan.run(inputs, resume_from="variants")
+
+
+def test_resources(spark, tmp_path, monkeypatch):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "envelope.csv").write_text("a\n")
+    (tmp_path / "other.csv").write_text("a\n")
+    find = lambda *a, **k: resources.find_resource(spark, *a, **k)
+    assert find("envelope.csv", folders=[str(tmp_path)]) == f"{tmp_path}/data/envelope.csv"
+    assert find("envelope.csv", given=str(tmp_path / "other.csv"), folders=[str(tmp_path)]) == str(tmp_path / "other.csv")
+    assert find("envelope.csv", given=str(tmp_path / "gone.csv"), folders=[str(tmp_path)]) == f"{tmp_path}/data/envelope.csv"
+    monkeypatch.chdir(tmp_path)
+    assert find("envelope.csv") == f"{tmp_path}/data/envelope.csv"
+    with pytest.raises(FileNotFoundError, match="none.csv isn't at any of: .*gone.csv, .*resources/none.csv"):
+        find("none.csv", given="/gone.csv")

@@ -95,3 +95,8 @@ def pollutant_column(columns: list[str], pollutant: str) -> str:
 
 def safe_name(text: str, most: int = 64, default: str = "fcd") -> str:
     return re.sub(r"[^0-9A-Za-z_\-]+", "_", text.strip()).strip("_")[:most] or default
+
+
+def standard_first(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with these columns first, in this order, and its others behind them, in theirs."""
+    return df.select(*names, *[F.col(f"`{c}`") for c in df.columns if c not in names])

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import in_polygon, parse_polygon
-from ..functions.schema import FCD_ALIASES, GT_TAGS, require, resolve
+from ..functions.schema import FCD_ALIASES, GT_TAGS, require, resolve, standard_first
+from ..sources.resources import path_exists
 from ..operators import emission, envelope, groundtruth, interpolation, kinematics, neighbors, refine, smoothing, spatial, trips
 
 POLLUTANTS = ["NOx", "PM2.5", "CO"]
@@ -55,18 +56,31 @@ class Pipeline:
     settings: Settings = field(default_factory=Settings)
     steps: dict[str, tuple[Step, list[str]]] = field(default_factory=lambda: dict(STEPS))
 
-    def run(self, inputs: dict[str, DataFrame], only: list[str] | None = None, resume_from: str | None = None, manifest: str | None = None) -> dict[str, DataFrame]:
-        """Runs the steps in order; those before resume_from are read from out_dir. manifest: local JSON file of timings."""
+    def run(
+        self, inputs: dict[str, DataFrame], only: list[str] | None = None, resume_from: str | None = None,
+        manifest: str | None = None, keep_intermediate: bool = True,
+    ) -> dict[str, DataFrame]:
+        """Runs the steps in order; those before resume_from are read from out_dir. manifest: local JSON file of timings.
+
+        Without keep_intermediate the folder of a step goes as soon as the last step that reads it is done, and only
+        inputs and RESULTS are left. The manifest tells which, and a later resume says which of the folders that it needs
+        are gone, and from where it could begin.
+        """
         if problems := self.settings.validate():
             raise ValueError("; ".join(problems))
+        if resume_from is not None and resume_from not in self.steps:
+            raise ValueError(f"no step {resume_from}")
         have, log, reading = dict(inputs), [], resume_from is not None
-        for name, (step, needs) in self.steps.items():
-            if only is not None and name not in only:
-                continue
+        chosen = [n for n in self.steps if only is None or n in only]
+        if reading:
+            self._check_folders(chosen, resume_from, set(inputs))
+        for name in chosen:
+            step, needs = self.steps[name]
             path = f"{self.out_dir}/{name}"
             reading = reading and name != resume_from
             if reading:
-                have[name] = self.spark.read.parquet(path)
+                if self._exists(path):
+                    have[name] = self.spark.read.parquet(path)
                 continue
             if missing := [n for n in needs if n not in have]:
                 log.append({"step": name, "status": "skipped", "missing": missing})
@@ -75,10 +89,45 @@ class Pipeline:
             step(have, self.settings).write.mode("overwrite").parquet(path)
             have[name] = self.spark.read.parquet(path)
             log.append({"step": name, "status": "done", "time_start": began, "time_end": time.time(), "output": path})
+            if not keep_intermediate:
+                for old in self._finished(chosen, name, have):
+                    self._path(f"{self.out_dir}/{old}", delete=True)
+                    del have[old]
+                    log.append({"step": old, "status": "removed", "after": name})
         if manifest:
             Path(manifest).write_text(json.dumps(log, indent=2))
         return have
 
+    def reads(self, name: str) -> set[str]:
+        """What a step reads, where it is there."""
+        return {*self.steps[name][1], *OPTIONAL.get(name, [])}
+
+    def _finished(self, chosen: list[str], name: str, have: dict[str, DataFrame]) -> list[str]:
+        """Steps up to this one whose folders no later one reads, and that aren't results."""
+        later = chosen[chosen.index(name) + 1 :]
+        wanted = {x for n in later for x in self.reads(n)}
+        return [n for n in chosen[: chosen.index(name) + 1] if n in have and n not in wanted and n not in RESULTS]
+
+    def _check_folders(self, chosen: list[str], resume_from: str, inputs: set[str]) -> None:
+        gone = {n for n in self.steps if n not in inputs and not self._exists(f"{self.out_dir}/{n}")}
+
+        def missing(start: str) -> list[str]:
+            runs = chosen[chosen.index(start) :] if start in chosen else []
+            return sorted({x for n in runs for x in self.steps[n][1] if x in self.steps and x not in runs and x in gone})
+
+        if lacking := missing(resume_from):
+            before = [n for n in chosen[: chosen.index(resume_from)] if not missing(n)]
+            raise ValueError(
+                f"can't resume from {resume_from}: the folders of {', '.join(lacking)} aren't there (removed by a run without "
+                f"keep_intermediate, or never written); resume from {before[-1] if before else chosen[0]}"
+            )
+
+    def _exists(self, path: str) -> bool:
+        return self._path(path)
+
+    def _path(self, path: str, delete: bool = False) -> bool:
+        return path_exists(self.spark, path, delete)
+
 
 def _standard(have: dict[str, DataFrame], s: Settings) -> DataFrame:
     rows = resolve(have["fcd"], FCD_ALIASES, paired=True)
@@ -112,9 +161,12 @@ def _refined(have: dict[str, DataFrame], s: Settings) -> DataFrame:
 
 
 def _variants(have: dict[str, DataFrame], s: Settings) -> DataFrame:
-    """All variants together; places of the derived ones come from the simulated ones along the odometer."""
+    """All variants together; places of the derived ones come from the simulated ones along the odometer.
+
+    Standard columns come first, then the data type, then what else the tables have, null where a variant lacks it.
+    """
     base = have["standard"].select(*VARIANT)
-    out = base.withColumn("data_type", F.lit("sumo"))
+    out = standard_first(have["standard"], VARIANT).withColumn("data_type", F.lit("sumo"))
     none = F.lit(None).cast("double")
     for name, tag in (("refined", "trim"), ("smooth", "sg")):
         if name not in have:
@@ -123,13 +175,13 @@ def _variants(have: dict[str, DataFrame], s: Settings) -> DataFrame:
         if name == "smooth":
             rows = rows.withColumnsRenamed({"speed": "vehicle_speed", "accel": "vehicle_accel", "odometer": "vehicle_odometer"})
             rows = rows.withColumn("vehicle_type", F.lit(None).cast("string"))
-        rows = rows.withColumns({"vehicle_x": none, "vehicle_y": none}).select(*VARIANT)
+        rows = standard_first(rows.withColumns({"vehicle_x": none, "vehicle_y": none}), VARIANT)
         rows = interpolation.fill_xy(interpolation.backfill_type(rows, base), base)
-        out = out.unionByName(rows.withColumn("data_type", F.lit(tag)))
+        out = out.unionByName(rows.withColumn("data_type", F.lit(tag)), allowMissingColumns=True)
     if "ground_truth" in have:
-        gt = groundtruth.standardise(have["ground_truth"], s.gt_speed_unit).select(*VARIANT)
-        out = out.unionByName(gt.withColumn("data_type", F.lit("ground_truth")))
-    return out
+        gt = standard_first(groundtruth.standardise(have["ground_truth"], s.gt_speed_unit), VARIANT)
+        out = out.unionByName(gt.withColumn("data_type", F.lit("ground_truth")), allowMissingColumns=True)
+    return standard_first(out, [*VARIANT, "data_type"])
 
 
 def _pollutants(have: dict[str, DataFrame], s: Settings) -> list[str]:
@@ -202,4 +254,9 @@ STEPS: dict[str, tuple[Step, list[str]]] = {
     "summary": (_summary, ["errors"]),
 }
 
-__all__ = ["STEPS", "Pipeline", "Settings"]
+#: what steps read besides what they need, if it is there
+OPTIONAL = {"variants": ["refined", "smooth", "ground_truth"]}
+#: steps whose folders are results
+RESULTS = {"matched", "intensity", "spatial", "errors", "summary"}
+
+__all__ = ["OPTIONAL", "RESULTS", "STEPS", "Pipeline", "Settings"]
