@@ -1,10 +1,20 @@
 """Secret scans by assignment-aware lexing.
 
-Base spans are matches of fixed patterns. The lexer adds spans of kind `pair`: it reads the text line by line as source
-or configuration syntax (`name = "literal"`, `name: literal`, `export NAME=value`, `"name": "value"`), propagates
-constants (a name whose value is another assigned name takes that name's literal, in order of the text), and scores each
-literal by its target name and its own shape. A literal whose score reaches the threshold is a span, at the place
-where it stands. Base spans are always kept; a pair span inside a base span of its own text is not repeated.
+Base spans are matches of fixed patterns. The lexer adds spans of kind `pair`. It cuts a text into tokens of source and
+configuration syntax: strings with escapes, triple-quoted and back-quoted ones, comments, names, operators, brackets and line
+ends with their indentation. From these it reads name-literal pairs:
+
+* `name = "literal"`, `name := `, `name => `, `name: type = `, `export NAME=value`, `"name": "value"`, `cfg["name"] = `;
+* values on the next, deeper line (`name:` in YAML, also with `|` and `>`), behind a line that goes on (`\\` or an open
+  bracket), and literals joined by `+`, `.` or standing side by side;
+* tags: attributes, `<name>value</name>`, and a name and a value that stand in two attributes, elements or entries
+  (`<add key="name" value="..."/>`, `name: X` above `value: ...`, `<key>name</key><string>value</string>`).
+
+What comments hold is read as well, apart from the text around them. Constants are propagated: a name whose value is
+another assigned name, or literals joined with one, takes that name's literal, in order of the text. A literal is scored by
+its target name and its own shape; if the score reaches the threshold, it is a span at the place where it stands (from its
+first piece to its last, where it is joined). Base spans are always kept; a pair span inside a base span of its own text is
+not repeated. Texts without any part of a sensitive name can have no such span and aren't cut into tokens.
 
 Defined results: a null text is empty; every row gives one result row, so repeated ids repeat, and an empty table gives
 an empty result. Offsets are code points, end exclusive.
@@ -41,13 +51,29 @@ NAME_WEIGHTS = {
 }
 PLACEHOLDERS = {"changeme", "example", "placeholder", "none", "null", "true", "false", "undefined", "xxxxxx", "your_key"}
 
-PAIR = re.compile(
-    r"(?<![A-Za-z0-9_$.\-])(?P<name>[A-Za-z_$][A-Za-z0-9_$.\-]*+)[\"']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"
-    r"(?:\"(?P<dq>(?:[^\"\\\n]|\\.)*)\"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s\"',;#(){}\[\]]+))"
-)
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*\Z")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 THRESHOLD = 4.0
+SENSITIVE = re.compile("(?ai:" + "|".join(sorted({n.split("_")[0] for n in NAME_WEIGHTS})) + ")")
+
+TOKEN = re.compile(
+    r"""(?P<triple>[rRbBuUfF]{0,2}(?P<q>\"\"\"|''')(?P<body3>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q))
+    |(?P<string>[rRbBuUfF]{0,2}(?:"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`))
+    |(?P<comment><!--(?P<c1>.*?)-->|/\*(?P<c2>.*?)\*/|(?:(?<=\s)|^)\#(?P<c3>[^\n]*+)|(?<![:\w])//(?P<c4>[^\n]*+))
+    |(?P<goes>\\\r?\n[ \t]*+)
+    |(?P<line>\r?\n[ \t]*+)
+    |(?P<space>[ \t\r\x0b\x0c]++)
+    |(?P<prose>(?:[A-Za-z][a-z]*+[,.;]?[ ]++(?=[A-Za-z])){3,}+)
+    |(?P<name>[A-Za-z_$@][A-Za-z0-9_$\-]*+(?:\.[A-Za-z_$][A-Za-z0-9_$\-]*+)*+)
+    |(?P<op>:=|=>|==+|!=|<=|>=|\+=|\?=|::|[=:+,;.()\[\]{}<>/|])
+    |(?P<other>[^\x00-\x7f]++|.)""",
+    re.X | re.S | re.M,
+)
+BARE = re.compile(r"[^\s\"',;#(){}\[\]<>`]++")
+TAG = re.compile(r"""<(?P<tag>[A-Za-z][\w:.\-]*+)(?P<attributes>(?:\s++[\w:.\-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+)\s*+(?P<alone>/?)>(?P<text>[^<]*+)""")
+ATTRIBUTE = re.compile(r"""([\w:.\-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+#: fixed values: names under which another name, and its value, are written
+NAMING, VALUED = {"name", "key", "id", "var", "variable"}, {"value", "string", "content", "val", "default"}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -81,24 +107,206 @@ def literal_score(literal: str) -> float:
     return (entropy(literal) >= 3.0) + (classes >= 2) + (len(literal) >= 12) - 2.0 * bool(re.search(r"\s", literal))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """Assignments in order: name, literal or name on the right, its span, and whether it is quoted."""
-    for m in PAIR.finditer(text):
-        kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        yield m["name"], m[kind], m.start(kind), m.end(kind), kind != "bare"
+Pair = tuple[str, str, int, int]  # name, literal, and the span where it stands
+
+
+class Lexer:
+    """Name-literal pairs of a text, in order; constants are those of the whole text so far."""
+
+    def __init__(self, known: dict[str, tuple[str, int, int]]):
+        self.known = known
+        self.found: list[Pair] = []
+
+    def read(self, text: str, begin: int = 0, end: int | None = None) -> None:
+        end = len(text) if end is None else end
+        tokens: list[tuple[str, str, int, int]] = []  # kind, what it says, span of that
+        comments = []
+        for m in TOKEN.finditer(text, begin, end):
+            kind = m.lastgroup if m.lastgroup in ("line", "goes", "space", "name", "op", "other", "prose") else None
+            if kind in ("space", "goes"):
+                continue
+            if kind is None:
+                if m["comment"] is not None:
+                    part = next(c for c in ("c1", "c2", "c3", "c4") if m[c] is not None)
+                    comments.append(m.span(part))
+                    continue
+                part = next(c for c in ("body3", "dq", "sq", "bq") if m[c] is not None)
+                tokens.append(("text", m[part], *m.span(part)))
+            else:
+                tokens.append((kind, m[0], m.start(), m.end()))
+        self.text, self.tokens, self.end = text, tokens, end
+        for i, (kind, said, *_) in enumerate(tokens):
+            if kind == "op" and said in ("=", ":", ":=", "=>", "?=", "+="):
+                self._assignment(i, said)
+        for start, stop in comments:
+            inner = Lexer(self.known)
+            inner.read(text, start, stop)
+            self.found += inner.found
+
+    def _targets(self, i: int, op: str) -> list[str]:
+        """The names that are left of the operator at token i: two in `name: type = value`, which may also be `note: name = value`."""
+        at = i - 1
+        if at < 0:
+            return []
+        kind, said, *_ = self.tokens[at]
+        if kind == "op" and said == "]" and at >= 2 and self.tokens[at - 2][1] == "[" and self.tokens[at - 1][0] in ("text", "name"):
+            out = [self.tokens[at - 1][1]]
+        elif kind == "text":
+            return [said] if NAME.match(said) else []
+        else:
+            out = [said] if kind == "name" else []
+        if op == "=":
+            back = at
+            while back >= 1 and (self.tokens[back][0] == "name" or self.tokens[back][0] == "op" and self.tokens[back][1] in "[].,|<>"):
+                back -= 1
+            if 1 <= back < at and self.tokens[back][1] == ":" and self.tokens[back - 1][0] == "name":
+                out.append(self.tokens[back - 1][1])
+        return out
+
+    def _is_type(self, at: int) -> bool:
+        """Whether what stands from token `at` on is the type in `name: type = value`."""
+        while at < len(self.tokens) and (self.tokens[at][0] == "name" or self.tokens[at][0] == "op" and self.tokens[at][1] in "[].,|<>"):
+            at += 1
+        return at < len(self.tokens) and self.tokens[at][1] == "="
+
+    def _indent(self, i: int) -> int:
+        """Spaces before the first token of the line of token i."""
+        start = self.text.rfind("\n", 0, self.tokens[i][2]) + 1
+        return _blanks(self.text, start)
+
+    def _assignment(self, i: int, op: str) -> None:
+        for name in self._targets(i, op):
+            self._right(name, i, op)
+
+    def _right(self, name: str, i: int, op: str) -> None:
+        at, brackets = i + 1, 0
+        if op == ":" and self._is_type(at):
+            return
+        while at < len(self.tokens):
+            kind, said, start, _ = self.tokens[at]
+            if kind == "op" and said == "(":
+                brackets += 1
+            elif kind == "op" and said in "|>" and op == ":" and at == i + 1:
+                self._block(name, i, at)
+                return
+            elif kind == "line" and (brackets or (op == ":" and at + 1 < len(self.tokens) and self._indent(at + 1) > self._indent(i))):
+                pass
+            else:
+                break
+            at += 1
+        if at < len(self.tokens) and self.tokens[at][0] != "line":
+            self._value(name, at, brackets)
+
+    def _block(self, name: str, i: int, at: int) -> None:
+        """A YAML block: the deeper lines behind the name."""
+        start = self.text.find("\n", self.tokens[at][2], self.end)
+        stop, last, least = start, start, _blanks(self.text, self.text.rfind("\n", 0, self.tokens[i][2]) + 1)
+        while stop >= 0:
+            line_end = self.text.find("\n", stop + 1, self.end)
+            line_end = self.end if line_end < 0 else line_end
+            line = self.text[stop + 1 : line_end]
+            if line.strip() and _blanks(self.text, stop + 1) <= least or line_end <= stop:
+                break
+            stop = line_end if line_end < self.end else -1
+            last = line_end
+        body = self.text[start + 1 : last] if start >= 0 and stop != start else ""
+        if body.strip():
+            first = start + 1 + len(body) - len(body.lstrip())
+            self._add(name, body.strip(), first, first + len(body.strip()))
+
+    def _value(self, name: str, at: int, brackets: int) -> None:
+        """A literal, a known name, or several of them joined."""
+        pieces: list[tuple[str, int, int]] = []
+        own = False  # whether a literal of this place is among them
+        while at < len(self.tokens):
+            kind, said, start, stop = self.tokens[at]
+            after = self.tokens[at + 1] if at + 1 < len(self.tokens) else ("line", "", stop, stop)
+            if kind == "text":
+                pieces.append((said, start, stop))
+                own = True
+            elif kind == "name" and said in self.known and after[1] not in ("(", "["):
+                pieces.append(self.known[said])
+            elif not pieces and kind in ("name", "other", "op", "prose") and (m := BARE.match(self.text, start, self.end)):
+                if after[1] == "(" and m.end() == stop:
+                    return  # a call
+                pieces.append((m[0], start, m.end()))
+                break
+            else:
+                return
+            at += 1
+            while at < len(self.tokens) and brackets and self.tokens[at][0] == "line":
+                at += 1
+            if at < len(self.tokens) and self.tokens[at][1] in ("+", "."):
+                at += 1
+                while at < len(self.tokens) and self.tokens[at][0] == "line":
+                    at += 1
+            elif not (at < len(self.tokens) and self.tokens[at][0] == "text" and kind == "text"):
+                break
+        if not pieces:
+            return
+        if len(pieces) == 1:
+            self._add(name, *pieces[0])
+        else:
+            here = [p for p in pieces if own and p not in self.known.values()] or pieces
+            self._add(name, "".join(p[0] for p in pieces), min(p[1] for p in here), max(p[2] for p in here))
+
+    def _add(self, name: str, literal: str, start: int, stop: int) -> None:
+        self.known[name] = (literal, start, stop)
+        self.found.append((name, literal, start, stop))
+
+
+def _blanks(text: str, at: int) -> int:
+    n = 0
+    while at + n < len(text) and text[at + n] in " \t-":
+        n += 1
+    return n
+
+
+def tagged(text: str) -> Iterator[Pair]:
+    """Pairs of tags: an element's own text, and names and values that stand apart."""
+    named: tuple[str, int] | None = None
+    for m in TAG.finditer(text):
+        tag, own = m["tag"].rpartition(":")[2], {}
+        for a in ATTRIBUTE.finditer(text, *m.span("attributes")):
+            part = 2 if a[2] is not None else 3
+            own[a[1].lower()] = (a[part], *a.span(part))
+        name = next((own[k][0] for k in own if k in NAMING), None)
+        value = next((own[k] for k in own if k in VALUED), None)
+        inner = m["text"].strip()
+        at = m.start("text") + len(m["text"]) - len(m["text"].lstrip())
+        if name and value:
+            yield name, *value
+        elif inner and not m["alone"]:
+            if named and tag.lower() in VALUED:
+                yield named[0], inner, at, at + len(inner)
+            yield name or tag, inner, at, at + len(inner)
+            named = (inner, at) if tag.lower() in NAMING and NAME.match(inner) else None
+
+
+def entries(found: list[Pair]) -> Iterator[Pair]:
+    """Pairs of a name and a value that are two entries one after the other."""
+    for (a, named, *_), (b, literal, start, stop) in zip(found, found[1:], strict=False):
+        if a.lower().lstrip("-") in NAMING and b.lower() in VALUED and NAME.match(named):
+            yield named, literal, start, stop
+
+
+def pairs(text: str) -> list[Pair]:
+    """Name-literal pairs of a text, in order of the text within each way of writing them."""
+    lexer = Lexer({})
+    lexer.read(text)
+    tags = list(tagged(text)) if "<" in text else []
+    return [*lexer.found, *entries(lexer.found), *tags]
 
 
 def pair_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that end, directly or through other names, in a sensitive target."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<") or not SENSITIVE.search(text):
         return []
-    known: dict[str, tuple[str, int, int]] = {}
     found = set()
-    for name, value, start, end, quoted in pairs(text):
-        source = known.get(value) if not quoted and NAME.match(value) else None
-        literal, start, end = source or (value, start, end)
-        known[name] = (literal, start, end)
+    for name, literal, start, end in pairs(text):
         weight = name_score(name)
+        if name.lower() in NAMING and NAME.match(literal) and name_score(literal):
+            continue  # a name, whose value stands elsewhere
         if weight and weight + literal_score(literal) >= THRESHOLD:
             found.add(("pair", start, end))
     return sorted(found, key=lambda s: s[1:])
