@@ -703,25 +703,26 @@ def slow_trips(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
     return kinematics.backward_accel(trips.numbered_trips(rows, vehicles=traj(spark, sf_dir)))
 
 
-REFINED = cols("vehicle_id", "trip_id", "timestep_time", "solved", "reason", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer")
+def refined_columns() -> list[Column]:
+    return cols("vehicle_id", "trip_id", "timestep_time", "solved", "reason", speed="vehicle_speed", accel="vehicle_accel", odometer="vehicle_odometer")
 
 
 @query()
 def qp_refine_stage1(spark, sf_dir):
-    return refine.refine_stage_one(slow_trips(spark, sf_dir)).select(*REFINED)
+    return refine.refine_stage_one(slow_trips(spark, sf_dir)).select(*refined_columns())
 
 
 @query()
 def qp_refine_with_gaps(spark, sf_dir):
     """Stage one with room to the vehicles ahead and behind."""
-    return refine.refine_stage_one(slow_trips(spark, sf_dir, near(spark, sf_dir))).select(*REFINED)
+    return refine.refine_stage_one(slow_trips(spark, sf_dir, near(spark, sf_dir))).select(*refined_columns())
 
 
 @query()
 def qp_refine_stage2(spark, sf_dir):
     rows, env = slow_trips(spark, sf_dir), fx(spark, sf_dir, "fx_jerk_env")
     bad = envelope.bad_cases(envelope.jerk_points(rows, env))
-    return refine.refine_stage_two(rows, bad, env).select(*REFINED, r6(F.col("gap")).alias("gap"))
+    return refine.refine_stage_two(rows, bad, env).select(*refined_columns(), r6(F.col("gap")).alias("gap"))
 
 
 @query(with_traj("""select vehicle_id, cast(trip_id as bigint) as trip_id, solved, round(case when solved then v0 + a1 else v1 end, 4) + 0e0 as second_speed, round(case when solved then v3 else v2 end, 4) + 0e0 as third_speed
