@@ -30,7 +30,7 @@ select a.lane_id, b.lane_id as next_lane_id from {fx_lanes} a join {fx_lanes} b
 """,
     "fx_ef": """
 select t.vehicle_type, p.pollutant, v.i as speed_kmh, a.i - 20 as accel_d10,
-       p.g * t.f * (v.price * 1.0e-3) * (1.0e0 + cast(v.i as double) * 0.01e0 + cast(greatest(a.i - 20, 0) as double) * 0.02e0) as EmissionFactor_gs
+       p.g * t.f * (v.price * 1.0917313e-3) * (1.0e0 + cast(v.i as double) * 0.01e0 + cast(greatest(a.i - 20, 0) as double) * 0.02e0) as EmissionFactor_gs
 from (select 'sedan' as vehicle_type, 1.0e0 as f union all select 'MPV', 1.5e0 union all select 'truck', 3.0e0) t
 cross join (select 'NOx' as pollutant, 1.0e-3 as g union all select 'PM2.5', 1.0e-4 union all select 'CO', 2.0e-3) p
 cross join (select cast(row_number() over (order by p_partkey) - 1 as int) as i, p_retailprice as price from {part}) v
