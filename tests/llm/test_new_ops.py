@@ -260,3 +260,12 @@ def test_new_queries(spark, sf_dir):
     expected = brute_components([(d.doc_id, d.text, None) for d in docs], 2, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_spellings_side_by_side(spark):
+    from trajspark.llm import licenses
+
+    known = {"X": "license license license organization non commercial sub license v 2"}
+    texts = ["Licence licence LICENCE organisation noncommercial sublicense version 2", "license, licence; license organization non-commercial sub-licence V 2", "licence licence organisation"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.scope) for r in licenses.find_licenses(df, known).collect()} == {(k, scope) for k in (0, 1) for scope in ("text", "line")}

@@ -20,11 +20,16 @@ COPYRIGHT_LINES = r"(?m)^[ \t#*/-]*(copyright|\(c\)|©|all rights reserved)[^\n]
 OTHER = r"[^a-z0-9]+"
 
 
+def apart(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def canonical(text: Column) -> Column:
     x = F.regexp_replace(F.lower(text), COPYRIGHT_LINES, " ")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, OTHER, " "), F.lit(" "))
+    # two blanks between words: each has its own on both sides, so neighbours that are spelled alike are both replaced
+    x = F.concat(F.lit(" "), F.regexp_replace(x, OTHER, "  "), F.lit(" "))
     for spelling, standard in SPELLINGS.items():
-        x = F.replace(x, F.lit(f" {spelling} "), F.lit(f" {standard} "))
+        x = F.replace(x, F.lit(f" {apart(spelling)} "), F.lit(f" {standard} "))
     return F.trim(x)
 
 
@@ -55,9 +60,9 @@ def oracle_sql(licenses: dict[str, str] = LICENSES) -> str:
 
     def form(text: str) -> str:
         x = f"regexp_replace(lower({text}), {quote(COPYRIGHT_LINES)}, ' ', 'g')"
-        x = f"(' ' || regexp_replace({x}, {quote(OTHER)}, ' ', 'g') || ' ')"
+        x = f"(' ' || regexp_replace({x}, {quote(OTHER)}, '  ', 'g') || ' ')"
         for spelling, standard in SPELLINGS.items():
-            x = f"replace({x}, {quote(f' {spelling} ')}, {quote(f' {standard} ')})"
+            x = f"replace({x}, {quote(f' {apart(spelling)} ')}, {quote(f' {standard} ')})"
         return f"md5(trim({x}))"
 
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in licenses.items())
