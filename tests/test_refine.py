@@ -265,3 +265,37 @@ def test_second_stage_on_tables(spark):
     one, other = out[out.vehicle_id == "bad"], out[out.vehicle_id == "good"]
     assert one.solved.all() and one.gap.max() <= 1e-4 and not other.solved.any() and other.vehicle_speed.tolist() == v and (other.vehicle_jerk == 9).all()
     assert np.abs(np.diff(one.vehicle_accel) - one.vehicle_jerk.to_numpy()[:-1]).max() < 1e-6
+
+
+@pytest.mark.parametrize("odd", [[1.0, 1e200, 1.0], [1.0, np.nan, 1.0, 2.0], [1.0, np.inf, 1.0], [1.0, 1e306, 1e306, 1.0]])
+def test_a_trip_beyond_all_numbers_spoils_no_other(odd):
+    profiles = [profile(k, 5 + k) for k in range(12)]
+    env = refine.Envelope(BOTH, LIMITS.a_max)
+
+    def solved(given):
+        v = np.concatenate(given)
+        first = np.concatenate([np.arange(len(p)) == 0 for p in given])
+        none = np.full(len(v), np.nan)
+        t = refine.Trips(first, v, refine.unit_places(v, first), none, none)
+        return refine.first_stage(t, LIMITS)[3], refine.second_stage(t, env, refine.Limits(nodes=4))[3]
+
+    for without, beside in zip(solved(profiles), solved([*profiles[:6], np.array(odd), *profiles[6:]]), strict=True):
+        assert beside[6] is not None and [*beside[:6], *beside[7:]] == list(without)
+
+
+def test_a_singular_block_stops_no_other(monkeypatch):
+    """A task's trips come out though one's system can't be solved."""
+    step = chain_qp._step
+
+    def singular(c, *rest):
+        if (np.diff(np.append(np.flatnonzero(c.first), len(c.first))) == 7).any():
+            raise np.linalg.LinAlgError("Singular matrix")
+        return step(c, *rest)
+
+    monkeypatch.setattr(chain_qp, "_step", singular)
+    profiles = [profile(k, 5 + k) for k in range(5)]
+    v = np.concatenate(profiles)
+    first = np.concatenate([np.arange(len(p)) == 0 for p in profiles])
+    none = np.full(len(v), np.nan)
+    reason = refine.first_stage(refine.Trips(first, v, refine.unit_places(v, first), none, none), LIMITS)[3]
+    assert reason[2] == "no convergence" and all((refine.stage_one(p, LIMITS) is None) == (reason[k] is not None) for k, p in enumerate(profiles) if k != 2)

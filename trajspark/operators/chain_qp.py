@@ -37,7 +37,7 @@ class Chains:
     fixed: np.ndarray  # (n, k) bool
     value: np.ndarray  # (n, k)
 
-    def take(self, rows: np.ndarray) -> Chains:
+    def take(self, rows: np.ndarray | slice) -> Chains:
         return Chains(*[getattr(self, f.name)[rows] for f in fields(self)])
 
 
@@ -103,16 +103,16 @@ class Tridiagonal:
 def solve(given: Chains, tolerance: float = 1e-6, steps: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(z, outcome of each chain, objective of each chain). z of chains that aren't SOLVED means nothing.
 
-    INFEASIBLE: the multipliers prove that no z keeps all limits. NO_CONVERGENCE: neither was found in so many steps.
+    INFEASIBLE: the multipliers prove that no z keeps all limits. NO_CONVERGENCE: neither was found in so many steps,
+    or in finite numbers.
     """
     starts = np.flatnonzero(given.first)
     n, k = given.q.shape
     z_all, outcome = np.zeros((n, k)), np.full(len(starts), NO_CONVERGENCE)
-    c, numbers, state = _substituted(given), np.arange(len(starts)), None
+    c, numbers = _substituted(given), np.arange(len(starts))
     rows = np.arange(n)
+    state = _start(c)
     for step in range(steps):
-        if state is None:
-            state = _start(c)
         z, nu, lam, s = state
         begin = np.flatnonzero(c.first)
         measure = _residuals(c, z, nu, lam, s)
@@ -136,7 +136,12 @@ def solve(given: Chains, tolerance: float = 1e-6, steps: int = 80) -> tuple[np.n
             c, rows, numbers = c.take(stay), rows[stay], numbers[~done]
             z, nu, lam, s = (x[stay] for x in state)
             measure, mu, begin = [x[stay] for x in measure], mu[~done], np.flatnonzero(c.first)
-        state = _step(c, z, nu, lam, s, measure, mu, begin)
+        state, broken = _stepped(c, [z, nu, lam, s], measure, mu)
+        if broken.any():
+            if broken.all():
+                break
+            stay = ~broken[np.cumsum(c.first) - 1]
+            c, rows, numbers, state = c.take(stay), rows[stay], numbers[~broken], [x[stay] for x in state]
     z_all = np.where(given.fixed, given.value, z_all)
     cost = np.add.reduceat((z_all * (0.5 * _apply(given.Q, z_all) + given.q)).sum(axis=1), starts)
     return z_all, outcome, cost
@@ -189,6 +194,28 @@ def _separates(c: Chains, nu, lam, begin, worst) -> np.ndarray:
     return (size > 1e3) & (worst(left) / size <= 1e-7) & (right / size < -1e-5)
 
 
+def _stepped(c: Chains, state: list, measure: list, mu: np.ndarray) -> tuple[list, np.ndarray]:
+    """_step of each chain, and the chains for which that has no finite numbers (their multipliers overflow).
+
+    One such chain spoils all chains of a system (0 times infinity is no number, and a singular block stops the whole
+    elimination), so these are halved until it is alone.
+    """
+    begin = np.flatnonzero(c.first)
+    try:
+        with np.errstate(all="ignore"):
+            new = _step(c, *state, measure, mu, begin)
+        if all(np.isfinite(x).all() for x in new):
+            return list(new), np.zeros(len(begin), bool)
+    except np.linalg.LinAlgError:
+        pass
+    if len(begin) == 1:
+        return state, np.ones(1, bool)
+    half = len(begin) // 2
+    parts = [(slice(0, begin[half]), slice(0, half)), (slice(begin[half], None), slice(half, None))]
+    found = [_stepped(c.take(at), [x[at] for x in state], [x[at] for x in measure], mu[of]) for at, of in parts]
+    return [np.concatenate(x) for x in zip(*[f[0] for f in found], strict=True)], np.concatenate([f[1] for f in found])
+
+
 def _step(c: Chains, z, nu, lam, s, measure, mu, begin, reg: float = 1e-8):
     rd, re, rp = measure
     active = np.isfinite(c.h)

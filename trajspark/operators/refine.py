@@ -78,7 +78,7 @@ class Trips:
     def lock(self) -> np.ndarray:
         return (self.v0 == 0) | self.first | self.last
 
-    def take(self, rows: np.ndarray) -> Trips:
+    def take(self, rows: np.ndarray | slice) -> Trips:
         return Trips(self.first[rows], self.v0[rows], self.x0[rows], self.ahead[rows], self.behind[rows], self.safe)
 
     def reasons(self, limits: Limits) -> np.ndarray:
@@ -323,8 +323,8 @@ def stage_two(v0, env: np.ndarray, limits: Limits, ahead=None, behind=None, safe
 
 def unit_places(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Places of rows a second apart, 0 at the first row of each trip."""
-    gone = np.cumsum(np.where(first, 0.0, (v + np.append(0.0, v[:-1])) / 2))
-    return gone - gone[first][np.cumsum(first) - 1]
+    gone = pd.Series(np.where(first, 0.0, (v + np.append(0.0, v[:-1])) / 2))
+    return gone.groupby(np.cumsum(first)).cumsum().to_numpy()  # a sum over all would carry a trip's odd speeds into the next
 
 
 _COLUMNS = {V: "double", A: "double", S: "double", J: "double", "reason": "string", "gap": "double"}
