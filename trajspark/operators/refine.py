@@ -348,7 +348,11 @@ def _by_trip(rows: DataFrame, run_trips: Callable[[Trips], tuple], safe: float)
         trip_of, derived = np.cumsum(first) - 1, unit_places(v0, first)
         gaps = np.logical_or.reduceat(np.isnan(x0), np.flatnonzero(first))[trip_of]
         trips = Trips(first, v0, np.where(gaps, derived, x0), ahead, behind, safe)
-        v, x, a, reason, gap = run_trips(trips)
+        # memory is that of the trips solved together, however long the frame is
+        number = (np.cumsum(np.diff(np.append(trips.starts, len(first)))) // together)[trip_of]
+        at = [0, *np.flatnonzero(np.diff(number)) + 1, len(first)]
+        parts = [run_trips(trips.take(slice(i, k))) for i, k in zip(at[:-1], at[1:], strict=True)]
+        v, x, a, reason, gap = (np.concatenate(found) for found in zip(*parts, strict=True))
         good = np.array([r is None for r in reason])[trip_of]
         hold = lambda values: np.where(good, values, np.nan)
         jerk = np.append(np.diff(a), 0.0)
