@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from trajspark.operators import chain_qp, refine
+from trajspark.operators import chain_qp, neighbors, refine
 
 LIMITS = refine.Limits()
 
@@ -299,3 +299,31 @@ def test_a_singular_block_stops_no_other(monkeypatch):
     none = np.full(len(v), np.nan)
     reason = refine.first_stage(refine.Trips(first, v, refine.unit_places(v, first), none, none), LIMITS)[3]
     assert reason[2] == "no convergence" and all((refine.stage_one(p, LIMITS) is None) == (reason[k] is not None) for k, p in enumerate(profiles) if k != 2)
+
+
+def test_vehicles_at_one_place(spark):
+    """Of vehicles at one place the ties' rule chooses, whichever lane they are on."""
+    lanes = spark.createDataFrame([("a", 10.0), ("b", 10.0), ("c", 10.0)], "lane_id string, length double")
+    links = spark.createDataFrame([("a", "b"), ("a", "c")], "lane_id string, next_lane_id string")
+    rows = [("v0", "a", 2.0), ("v9", "a", 2.0), ("v3", "b", 1.0), ("v2", "b", 1.0), ("v1", "c", 1.0), ("v4", "a", 5.0), ("v5", "a", 5.0)]
+    df = spark.createDataFrame([(v, 0.0, float(k), lane, at) for k, (v, lane, at) in enumerate(rows)], "vehicle_id string, timestep_time double, vehicle_speed double, vehicle_lane string, vehicle_pos double")
+    got = {r.vehicle_id: (r.following_vehicle_id, r.following_vehicle_speed, r.preceding_vehicle_id, r.preceding_vehicle_speed) for r in neighbors.neighbours(df, links, lanes).collect()}
+    speed = {v: float(k) for k, (v, *_) in enumerate(rows)}
+    for vehicle, ahead, behind in [("v0", "v4", None), ("v9", "v4", None), ("v4", "v1", "v9"), ("v5", "v1", "v9"), ("v2", None, "v5"), ("v1", None, "v5")]:
+        assert got[vehicle] == (ahead, speed.get(ahead), behind, speed.get(behind))
+
+
+def test_rows_of_a_place_are_joined_once(spark):
+    """A vehicle more at a place brings one row more into the as-of windows, not one for each lane that leads there."""
+    lanes = spark.createDataFrame([("a", 10.0), *[(f"b{k}", 10.0) for k in range(9)]], "lane_id string, length double")
+    links = spark.createDataFrame([("a", f"b{k}") for k in range(9)], "lane_id string, next_lane_id string")
+    schema = "vehicle_id string, timestep_time double, vehicle_speed double, vehicle_lane string, vehicle_pos double"
+    plan = lambda n: neighbors.neighbours(spark.createDataFrame([(f"v{k}", 0.0, 1.0, "a", 2.0) for k in range(n)], schema), links, lanes)
+    seen = []
+    original = neighbors.asof_strict
+    try:
+        neighbors.asof_strict = lambda left, right, *rest: (seen.append(right.count()), original(left, right, *rest))[1]
+        plan(1), plan(50)
+    finally:
+        neighbors.asof_strict = original
+    assert seen[:2] == seen[2:]

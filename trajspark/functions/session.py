@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/{top.name}", "zip", top.parent, top.name))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed and kept in the session's checkpoint folder; a local master without one gets a temporary folder."""
+def _folder(df: DataFrame) -> None:
+    """Sees that the session has a checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -36,9 +37,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             known = tempfile.mkdtemp(prefix="trajspark-checkpoint-")
             atexit.register(shutil.rmtree, known, ignore_errors=True)
         context.setCheckpointDir(known)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed and kept in the session's checkpoint folder; a local master without one gets a temporary folder."""
+    _folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in that folder: computed once, columns that a reader doesn't need aren't read."""
+    _folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hinted(df: DataFrame, most_rows: int, limit: int = 200_000) -> DataFrame:
     """df with a broadcast hint where it has at most most_rows rows and these are few; else the optimiser decides."""
     return F.broadcast(df) if most_rows <= limit else df

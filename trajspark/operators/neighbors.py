@@ -41,8 +41,12 @@ def neighbours(df: DataFrame, links: DataFrame, lengths: DataFrame, hops: int =
     here = df.select(T, F.col("vehicle_lane").alias("_lane")).distinct()
     for ahead, prefix in ((True, "following_"), (False, "preceding_")):
         sign = 1 if ahead else -1
+        # of vehicles at one place only that of the ties' rule can be the nearest of any row, so the others go no further
+        at_place = (F.min if ahead else F.max)(F.struct(VID, V)).alias("_one")
         moved = (
-            df.select(T, VID, V, "vehicle_lane", "vehicle_pos")
+            df.groupBy(T, "vehicle_lane", "vehicle_pos")
+            .agg(at_place)
+            .select(T, "vehicle_lane", "vehicle_pos", F.col("_one")[VID].alias(VID), F.col("_one")[V].alias(V))
             .join(hinted(lanes.where(F.col("ahead") == ahead), most), F.col("vehicle_lane") == F.col("candidate"))
             .select(
                 T,

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import ship
+from ..functions.session import ship, stored
 from .chain_qp import INFEASIBLE, SOLVED, Chains, solve
 from .kinematics import A, T, V, VID, moving_only
 from .neighbors import safe_distance
@@ -403,6 +403,7 @@ def refine_stage_one(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Where df has headways (`neighbors.neighbours`), trips keep room to the vehicles ahead and behind.
     """
+    df = stored(df)  # read several times, and dear where the headways come from a join
     full = _prepared(df)
     safe = safe_distance(df).first()[0] if AHEAD in df.columns and BEHIND in df.columns else 0.0
 
@@ -422,6 +423,7 @@ def refine_stage_two(df: DataFrame, bad: DataFrame, envelope: DataFrame, limits:
     jerk_min, jerk_max), which go to every task.
     """
     env = np.array([[r.accel_d10 / 10, r.jerk_min, r.jerk_max] for r in envelope.orderBy("accel_d10").collect()])
+    df = stored(df)
     full = _prepared(df)
     safe = safe_distance(df).first()[0] if AHEAD in df.columns and BEHIND in df.columns else 0.0
 
