@@ -269,3 +269,14 @@ def test_spellings_side_by_side(spark):
     texts = ["Licence licence LICENCE organisation noncommercial sublicense version 2", "license, licence; license organization non-commercial sub-licence V 2", "licence licence organisation"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {(r.doc_id, r.scope) for r in licenses.find_licenses(df, known).collect()} == {(k, scope) for k in (0, 1) for scope in ("text", "line")}
+
+
+def test_strays_meet_several_leaders(spark):
+    """Documents outside a key's largest component meet some of its documents before they meet one another."""
+    from trajspark.llm import odd_sketch
+
+    entries = spark.createDataFrame([(0, 7, d) for d in range(40)], "band int, key long, doc long")
+    component = spark.createDataFrame([(d, 0) for d in range(1, 30)], "doc long, component long")
+    rows = odd_sketch._strays(entries, component, range(4)).where("stray").collect()
+    assert {r.doc for r in rows} == set(range(30, 40)) and all(set(r.leads) <= set(range(30)) for r in rows)
+    assert {len(r.leads) for r in rows} == {4} and len(set(rows[0].leads)) > 1

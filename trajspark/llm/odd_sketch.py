@@ -11,7 +11,7 @@
 3. Documents meet under equal band keys. The keys of the FIRST bands pair their documents with a leader, the first by a hash
    of the ids, which is the same one for most keys of a group, so a group of copies and variants takes few pairs a document.
    Links form components. Then, in all keys that hold several components, the documents outside the key's largest one meet
-   its leader, and at last all documents of the key that are of other components, under the same tests. Where that is many
+   LEADERS leaders, LED times with others, and at last all documents of the key that are of other components, under the same tests. Where that is many
    pairs the key is refined first: its documents meet under the key and one of the next AHEAD keys together. Documents
    that link agree in several bands, so they still meet.
 4. Components of all links.
@@ -45,6 +45,8 @@ BANDS, ROWS, BITS = 48, 6, 1024
 FIRST = 8  # bands whose leaders are met first
 HEAVY = 1 << 20  # pairs to look at under one key from which on it is refined
 AHEAD = 6  # a key is refined with each of so many that follow
+LED = 2  # times that this is done, with other leaders
+LEADERS = 4  # of a key's largest component, which the key's other documents meet before one another
 
 
 def bits_at(similarity: float, samples: int, bits: int, sigmas: float = 0.0) -> float:
@@ -180,8 +182,9 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _first(x: str = "doc") -> Column:
-    return F.min(F.struct(F.xxhash64(x).alias("r"), F.col(x).alias("doc")))["doc"]
+def _first(x: str = "doc", salt: int | None = None) -> Column:
+    r = F.xxhash64(x) if salt is None else F.xxhash64(x, F.lit(salt))
+    return F.min(F.struct(r.alias("r"), F.col(x).alias("doc")))["doc"]
 
 
 def _leader_pairs(entries: DataFrame) -> DataFrame:
@@ -191,19 +194,24 @@ def _leader_pairs(entries: DataFrame) -> DataFrame:
     return pairs.select(*_pair("doc", "lead")).distinct()
 
 
-def _strays(entries: DataFrame, component: DataFrame) -> DataFrame:
-    """Entries of keys that hold several components: stray (not in the key's largest), lead (the largest's), pairs to look at."""
+def _strays(entries: DataFrame, component: DataFrame, leaders: range = range(1)) -> DataFrame:
+    """Entries of keys that hold several components: stray (not in the key's largest), leads (of the largest), pairs to look at.
+
+    A component has a leader for each of these salts, the same for most keys of a group.
+    """
     placed = entries.join(component, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    of = placed.groupBy("band", "key", "component").agg(F.count("*").alias("k"), _first().alias("lead"))
+    of = placed.groupBy("band", "key", "component").agg(
+        F.count("*").alias("k"), F.array(*[_first(salt=k) for k in leaders]).alias("leads")
+    )
     per_key = of.groupBy("band", "key").agg(
-        F.sum("k").alias("all"), F.count("*").alias("different"), F.max(F.struct("k", "component", "lead")).alias("top")
+        F.sum("k").alias("all"), F.count("*").alias("different"), F.max(F.struct("k", "component", "leads")).alias("top")
     )
     mixed = per_key.where("different > 1").select(
-        "band", "key", F.col("top.component").alias("home"), F.col("top.lead").alias("lead"),
+        "band", "key", F.col("top.component").alias("home"), F.col("top.leads").alias("leads"),
         ((F.col("all") - F.col("top.k")) * F.col("all")).alias("pairs"),
     )
     found = placed.join(mixed, ["band", "key"])
-    return found.select("band", "key", "doc", "component", (F.col("component") != F.col("home")).alias("stray"), "lead", "pairs")
+    return found.select("band", "key", "doc", "component", (F.col("component") != F.col("home")).alias("stray"), "leads", "pairs")
 
 
 def _across(mixed: DataFrame, marks: DataFrame, percent: int, most: int) -> DataFrame:
@@ -301,8 +309,10 @@ def near_duplicates(
 
     found = _Links(texts, width, percent)
     found.add(_allowed(_leader_pairs(entries.where(F.col("band") < FIRST)), marks, percent, most))
-    mixed = _strays(entries, found.label()).where("stray").select(*_pair("doc", "lead")).distinct()
-    found.add(_allowed(mixed, marks, percent, most))
+    for k in range(LED):
+        mixed = _strays(entries, found.label(), range(k * LEADERS, (k + 1) * LEADERS)).where("stray")
+        mixed = mixed.select("doc", F.explode(F.array_distinct("leads")).alias("lead")).select(*_pair("doc", "lead")).distinct()
+        found.add(_allowed(mixed, marks, percent, most))
     mixed = materialize(_strays(entries, found.label()), "mixed")
     met = _across(mixed.where(F.col("pairs") <= heavy), marks, percent, most)
     large = mixed.where(F.col("pairs") > heavy)
