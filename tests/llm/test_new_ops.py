@@ -198,6 +198,22 @@ def test_variants_of_one_text_and_of_a_template(spark, heavy):
     assert len({c for _, c in got.values()}) > 40
 
 
+def test_large_keys_lose_no_link(spark):
+    """With two keys of one value, documents of a large key often agree in that key alone; none of their links may be lost."""
+    r = np.random.default_rng(8)
+    shared, rows = letters(100, 21), []
+    for g in range(30):
+        base = [*shared, *letters(45, 7000 + g)]
+        for k in range(2):
+            text = [*base]
+            for at in r.choice(len(text), 3, replace=False):
+                text[int(at)] = f"x{g}{k}{at}"
+            rows.append((2 * g + k, " ".join(text), "a"))
+    got = found_components(odd_sketch.near_duplicates(docs_of(spark, rows), 2, 80, bands=2, rows=1, heavy=0))
+    expected = brute_components(rows, 2, 80)
+    assert got == expected and 5 < len({c for _, c in expected.values()}) < 60
+
+
 def test_odd_sketch_estimates(spark):
     """The estimate is near the true similarity, the bound drops few pairs at the threshold, and bits follow the formula."""
     s = odd_sketch.Sampler(odd_sketch.BANDS, odd_sketch.ROWS, odd_sketch.BITS)

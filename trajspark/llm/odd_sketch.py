@@ -11,14 +11,15 @@
 3. Documents meet under equal band keys. The keys of the FIRST bands pair their documents with a leader, the first by a hash
    of the ids, which is the same one for most keys of a group, so a group of copies and variants takes few pairs a document.
    Links form components. Then, in all keys that hold several components, the documents outside the key's largest one meet
-   LEADERS leaders, LED times with others, and at last all documents of the key that are of other components, under the same tests. Where that is many
-   pairs the key is refined first: its documents meet under the key and one of the next AHEAD keys together. Documents
-   that link agree in several bands, so they still meet.
+   LEADERS leaders, LED times with others, and at last all documents of the key that are of other components, under the
+   same tests. Where that is many pairs, the documents of all such keys meet by the prefixes of their whole sets instead:
+   with their shingles in order, rare ones first, sets that link have one in common among the first n - ceil(t n) + 1.
+   That loses nothing, so these pairs skip the sample sketch, and it splits a key by what few of its documents share.
 4. Components of all links.
 
 What can be lost: a pair that links meets under no key with a probability of (1 - s^rows)^bands, 5e-7 at a similarity of
-0.8 and with the defaults, is over the sample sketch's bound with one of 3e-7, and has no two agreeing bands near each other
-where keys are refined with one of about 1e-5. Nothing is capped: any number of documents may meet under a key.
+0.8 and with the defaults, and is over the sample sketch's bound with one of 3e-7. Nothing is capped: any number of
+documents may meet under a key, and among the documents of large keys no link is lost.
 
 Defined results: words are runs of non-blank characters, A-Z lower-cased. Fewer words than the width: the whole sequence
 is the only shingle. No words, or a null text: an empty set, linked with nothing. Rows without an id keep a null
@@ -43,8 +44,7 @@ from .vector_codes import join_by_weight
 
 BANDS, ROWS, BITS = 48, 6, 1024
 FIRST = 8  # bands whose leaders are met first
-HEAVY = 1 << 20  # pairs to look at under one key from which on it is refined
-AHEAD = 6  # a key is refined with each of so many that follow
+HEAVY = 1 << 20  # pairs to look at under one key from which on its documents meet by prefixes
 LED = 2  # times that this is done, with other leaders
 LEADERS = 4  # of a key's largest component, which the key's other documents meet before one another
 
@@ -163,10 +163,10 @@ def _folded(x: Column) -> Column:
     return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
 
 
-def _fits(percent: int, most: int, a: str, b: str) -> Column:
-    """Set sizes and both sketches of two sides allow a link. Sets that may link have set sketches of a size or neighbouring ones."""
+def _fits(percent: int, most: int | None, a: str, b: str) -> Column:
+    """Set sizes and both sketches (without `most` that of the whole set) of two sides allow a link. Sets that may link have set sketches of a size or neighbouring ones."""
     sizes = F.expr(f"100 * least(n_{a}, n_{b}) >= {percent} * greatest(n_{a}, n_{b})")
-    samples = xor_bits(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) <= most
+    samples = F.lit(True) if most is None else xor_bits(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) <= most
     one, other = F.col(f"parity_{a}"), F.col(f"parity_{b}")
     apart = F.when(F.size(one) > F.size(other), xor_bits(_folded(one), other))
     apart = apart.when(F.size(one) < F.size(other), xor_bits(one, _folded(other))).otherwise(xor_bits(one, other))
@@ -214,7 +214,7 @@ def _strays(entries: DataFrame, component: DataFrame, leaders: range = range(1))
     return found.select("band", "key", "doc", "component", (F.col("component") != F.col("home")).alias("stray"), "leads", "pairs")
 
 
-def _across(mixed: DataFrame, marks: DataFrame, percent: int, most: int) -> DataFrame:
+def _across(mixed: DataFrame, marks: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Distinct (a, b) of documents of different components that meet under a key and may link."""
     full = mixed.join(marks, "doc")
     columns = ["band", "key", "doc", "component", "stray", "n", "sketch", "parity"]
@@ -226,19 +226,19 @@ def _across(mixed: DataFrame, marks: DataFrame, percent: int, most: int) -> Data
     return met.select(*_pair("doc_a", "doc_b")).distinct()
 
 
-def _finer(heavy: DataFrame, bands: int, ahead: int) -> DataFrame:
-    """Entries under pairs of keys: one that is to be refined, and one of the next few bands of the same document."""
-    own = heavy.select("doc", "band", "key", "keys")
-    next_bands = F.transform(F.sequence(F.lit(1), F.lit(min(ahead, bands - 1))), lambda d: (F.col("band") + d) % bands)
-    each = own.select("doc", "band", "key", "keys", F.explode(next_bands).alias("other"))
-    return each.select(
-        "doc",
-        (F.col("band") * bands + F.col("other")).alias("band"),
-        F.xxhash64("key", F.get("keys", "other")).alias("key"),
-    )
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Entries (band, key, doc) under the shingles of each set's prefix that other sets have too."""
+    grams = sets.select("doc", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("key"))
+    many = grams.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    order = F.array_sort(F.collect_list(F.struct("k", "key")))
+    shared = grams.join(many, "key").groupBy("doc", "n").agg(order.alias("order"))
+    # the n - size(order) shingles that no other set has come before these
+    left = f"size(order) + 1 - int(({percent} * n + 99) div 100)"
+    prefix = F.expr(f"slice(order, 1, greatest(0, {left}))")
+    return shared.select(F.lit(0).alias("band"), F.explode(prefix["key"]).alias("key"), "doc")
 
 
-def _allowed(pairs: DataFrame, marks: DataFrame, percent: int, most: int) -> DataFrame:
+def _allowed(pairs: DataFrame, marks: DataFrame, percent: int, most: int | None) -> DataFrame:
     for x in ("a", "b"):
         pairs = pairs.join(_side(marks.withColumnRenamed("doc", x), x, x), x)
     return pairs.where(_fits(percent, most, "a", "b")).select("a", "b")
@@ -251,6 +251,14 @@ class _Links:
         self.texts, self.width, self.percent = texts, width, percent
         self.tried = self.docs = self.sets = self.links = self._label = None
 
+    def whole(self, docs: DataFrame) -> DataFrame:
+        """(doc, grams) of these documents, among others."""
+        docs = materialize(docs if self.docs is None else docs.join(self.docs, "doc", "left_anti"), "wanted")
+        sets = materialize(_set_table(self.texts, docs, self.width), "sets")
+        both = lambda x, y: y if x is None else x.unionByName(y)
+        self.docs, self.sets = both(self.docs, docs), both(self.sets, sets)
+        return self.sets
+
     def add(self, pairs: DataFrame) -> None:
         """Verifies the pairs (a, b) that haven't been."""
         if self.tried is not None:
@@ -258,15 +266,19 @@ class _Links:
         pairs = materialize(pairs, "candidates")
         if self.tried is not None and pairs.isEmpty():
             return
-        docs = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        docs = materialize(docs if self.docs is None else docs.join(self.docs, "doc", "left_anti"), "wanted")
-        sets = materialize(_set_table(self.texts, docs, self.width), "sets")
-        self.sets = sets if self.sets is None else self.sets.unionByName(sets)
-        links = materialize(_verified(pairs, self.sets, self.percent), "links")
+        sets = self.whole(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        links = materialize(_verified(pairs, sets, self.percent), "links")
         both = lambda x, y: y if x is None else x.unionByName(y)
-        self.tried, self.docs, self.links = both(self.tried, pairs), both(self.docs, docs), both(self.links, links)
+        self.tried, self.links = both(self.tried, pairs), both(self.links, links)
         self._label = components(self.links).withColumnsRenamed({"node": "doc"})
 
+    def lead(self, entries: DataFrame, marks: DataFrame, most: int | None) -> None:
+        """Verifies the documents outside each key's largest component with leaders of it."""
+        for k in range(LED):
+            mixed = _strays(entries, self.label(), range(k * LEADERS, (k + 1) * LEADERS)).where("stray")
+            mixed = mixed.select("doc", F.explode(F.array_distinct("leads")).alias("lead")).select(*_pair("doc", "lead")).distinct()
+            self.add(_allowed(mixed, marks, self.percent, most))
+
     def label(self) -> DataFrame:
         """(doc, component) of the documents that aren't the smallest of their component."""
         return self._label
@@ -309,17 +321,14 @@ def near_duplicates(
 
     found = _Links(texts, width, percent)
     found.add(_allowed(_leader_pairs(entries.where(F.col("band") < FIRST)), marks, percent, most))
-    for k in range(LED):
-        mixed = _strays(entries, found.label(), range(k * LEADERS, (k + 1) * LEADERS)).where("stray")
-        mixed = mixed.select("doc", F.explode(F.array_distinct("leads")).alias("lead")).select(*_pair("doc", "lead")).distinct()
-        found.add(_allowed(mixed, marks, percent, most))
+    found.lead(entries, marks, most)
     mixed = materialize(_strays(entries, found.label()), "mixed")
-    met = _across(mixed.where(F.col("pairs") <= heavy), marks, percent, most)
-    large = mixed.where(F.col("pairs") > heavy)
+    found.add(_across(mixed.where(F.col("pairs") <= heavy), marks, percent, most))
+    large = materialize(mixed.where(F.col("pairs") > heavy).select("doc").distinct(), "large")
     if not large.isEmpty():
-        finer = materialize(_finer(large.join(chosen.select("doc", "keys"), "doc"), bands, AHEAD), "finer")
-        met = met.unionByName(_across(_strays(finer, found.label()), marks, percent, most)).distinct()
-    found.add(met)
+        finer = materialize(_prefixes(found.whole(large).join(large, "doc", "left_semi"), percent), "finer")
+        found.lead(finer, marks, None)
+        found.add(_across(_strays(finer, found.label()), marks, percent, None))
     label = found.label()
 
     of_rep = label.withColumnsRenamed({"doc": "same"})
