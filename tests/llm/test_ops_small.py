@@ -528,6 +528,20 @@ def test_recall_of_near_lines(spark):
         assert sum(found[at] for at in of) >= 0.9 * sum(there[at] for at in of), (band, share)
 
 
+def test_short_lines_that_differ_in_a_word(spark):
+    """A word put in, taken out, misspelt or replaced by another short one: lines of one word and of few words meet."""
+    rows = []
+    for g in range(12):
+        a, b, c, d = (f"{w}{x}" for w, x in zip(letters(4, 400 + g), ("lantern", "meadow", "harbours", "villages"), strict=True))
+        base = f"{a} {b} of {c} {d}"
+        for near in (base.replace(" of ", " to "), base.replace(" of ", " "), base.replace(b, b + "x"), f"{base} it"):
+            rows += [(len(rows), near, "a")]
+        rows += [(len(rows), base, "a"), (len(rows) + 1, a + b, "b"), (len(rows) + 2, a + "x" + b, "b")]
+    lines, kept = line_dedup.line_groups(docs_of(spark, rows))
+    got = {r.doc: r.kept.doc for r in lines.join(kept, ["h", "g"]).collect()}
+    assert got == {k: k // 7 * 7 + (5 if k % 7 > 4 else 0) for k in range(len(rows))}
+
+
 # ---- licences
 
 

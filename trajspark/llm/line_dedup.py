@@ -5,17 +5,19 @@ Each form gets a 64-bit SimHash of its word pairs: bit by bit the majority of th
 all long lines of one language much the same SimHash). SimHashes within DISTANCE bits agree on BLOCKS - DISTANCE blocks
 of 16 bits at least, so two forms meet under a key of KEPT of their BLOCKS blocks. A word changed in a short line moves
 its SimHash further than any pigeonhole reaches, so each form also has the least of its word pairs' hashes under LEAST
-hash functions, and two forms that agree on two of these meet as well. All keys have 32 bits at least, so that chance
-meetings stay rare beside true ones. Forms that meet, have SimHashes within FAR bits (unrelated lines differ in 32) and
-similar lengths are verified by edit similarity (1 - distance / longer length) of their normal forms.
+hash functions, and two forms that agree on two of these meet as well. Forms of SHORT characters at most also meet by what
+is left of them without one word (or, of a single word, without one letter), so that a word replaced, misspelt, put in or
+taken out doesn't part them. All keys have 32 bits at least, so that chance meetings stay rare beside true ones. Forms that
+meet, have SimHashes within FAR bits (unrelated lines differ in 32; not asked of short forms) and similar lengths are
+verified by edit similarity (1 - distance / longer length) of their normal forms.
 
 Each key's forms are first paired with the key's smallest form, and verified links form groups. Forms of different
 groups under a key (lines that have a passage in common, say) then meet under finer keys, the key with one more block,
 least hash or class of length, and are paired with the smallest form of each of these. So pairs grow with the forms and
 not with the square of a key's forms. Of each connected group the first occurrence (smallest id, then line number) stays.
 
-The keys are a sieve: lines that share most of their word pairs meet, lines of few words that differ in one may not
-(README has the recall by length and similarity). Equal normal forms are always found, and no link is false.
+The keys are a sieve: lines that share most of their word pairs meet, and short ones that differ in a word; others that
+have the similarity, by changes all along the line say, may not (README has the recall by length and similarity). Equal normal forms are always found, and no link is false.
 
 Defined results: lines without a letter are kept as they are. A null text has no lines and stays null. Rows without an
 id are kept as they are. Rows that repeat an id are one document: lines of one text at one place are one occurrence. An
@@ -38,6 +40,7 @@ KEPT = BLOCKS - DISTANCE
 WIDTH = 16  # bits of a block
 LEAST = 6
 FAR = 22
+SHORT = 80  # characters
 SIMILARITY = 0.8
 PAIRS = 2000  # verified by a task
 PIECE = 256  # characters
@@ -53,15 +56,16 @@ def normal_form(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, form) of all lines; a line without a word has an empty form."""
-    each = docs.where(F.col(id_col).isNotNull()).select(
+    """(doc, line, text) of all lines."""
+    return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "text")
     )
-    return each.select("doc", "line", normal_form(F.col("text")).alias("form"))
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """(doc, line, h, g, chars, sim, m0, m1, ...): two hashes, length, SimHash and least pair hashes of each line's form.
+    """(doc, line, h, g, chars, short, sim, m0, m1, ...): two hashes, length, SimHash and least pair hashes of each line's form.
+
+    short is the form itself, of lines of SHORT characters at most.
 
     sim has the bits that more than half of the hashes of the line's word pairs have (each word with the next one, the
     last word with nothing). Eight sums count the 64 bits of up to CHUNK pairs, each in a byte of its own; lines of more
@@ -73,18 +77,19 @@ def simhashes(lines: DataFrame) -> DataFrame:
         F.xxhash64("form").alias("h"),
         F.xxhash64("form", F.lit(11)).alias("g"),
         F.length("form").alias("chars"),
+        F.when(F.length("form") <= SHORT, F.col("form")).alias("short"),
         F.split("form", " ").alias("words"),
     )
     pairs = split.select(
-        "doc", "line", "h", "g", "chars", "words", F.posexplode("words").alias("at", "word")
+        "doc", "line", "h", "g", "chars", "short", "words", F.posexplode("words").alias("at", "word")
     ).where("word <> ''").select(  # a form without words is one empty word
-        "doc", "line", "h", "g", "chars",
+        "doc", "line", "h", "g", "chars", "short",
         F.expr(f"int(at div {CHUNK})").alias("chunk"),
         F.expr("xxhash64(word, get(words, at + 1))").alias("pair"),
     )
     every_8th = F.lit(0x0101010101010101)
     sums = [F.sum(F.shiftrightunsigned("pair", k).bitwiseAND(every_8th)).alias(f"s{k}") for k in range(8)]
-    keys = ["doc", "line", "h", "g", "chars"]
+    keys = ["doc", "line", "h", "g", "chars", "short"]
     least = [F.min(F.xxhash64("pair", F.lit(k))).alias(m) for k, m in enumerate(_LEAST)]
     chunks = pairs.groupBy(*keys, "chunk").agg(F.count("*").alias("n"), *sums, *least)
     # lines of one chunk that isn't full are done; the others keep their sums
@@ -128,8 +133,25 @@ def _blocks(sim: str) -> list[Column]:
     return [F.shiftrightunsigned(sim, k * WIDTH).bitwiseAND((1 << WIDTH) - 1) for k in range(BLOCKS)]
 
 
+def _without_one(form: Column, similarity: float) -> Column:
+    """Keys of a form: all of it, and what is left without each of its words (letters, if it is a single word).
+
+    A long word can't be replaced by any other, so without it the form only meets those that have its first or last letters
+    there.
+    """
+    units = F.when(F.contains(form, F.lit(" ")), F.split(form, " ")).otherwise(F.split(form, ""))
+    most = F.lit(1 / similarity - 1) * F.length(form)  # of the longer one's characters that may change
+    rest = lambda i: F.concat(F.slice(units, F.lit(1), i), F.slice(units, i + 2, F.length(form)))
+    any_word = F.transform(units, lambda x, i: F.when(F.length(x) <= F.greatest(most, F.lit(1)), F.xxhash64(F.lit(0), rest(i))))
+    long = lambda x, key: F.when(2 * F.length(x) > most, key)
+    begin = F.transform(units, lambda x, i: long(x, F.xxhash64(F.lit(1), F.left(x, F.lit(2)), rest(i))))
+    end = F.transform(units, lambda x, i: long(x, F.xxhash64(F.lit(2), F.right(x, F.lit(2)), rest(i))))
+    like_it = [F.when(F.contains(form, F.lit(" ")), x).otherwise(F.array().cast("array<bigint>")) for x in (begin, end)]
+    return F.array_distinct(F.array_compact(F.concat(F.array(F.xxhash64(F.lit(0), units)), any_word, *like_it)))
+
+
 def _near(s: str, t: str, m: str, n: str, similarity: float) -> Column:
-    few = F.bit_count(F.col(s).bitwiseXOR(F.col(t))) <= FAR
+    few = (F.bit_count(F.col(s).bitwiseXOR(F.col(t))) <= FAR) | (F.greatest(m, n) <= SHORT)
     return few & (F.least(m, n) >= F.lit(similarity) * F.greatest(m, n))
 
 
@@ -139,7 +161,8 @@ def _verified(pairs: DataFrame, forms: DataFrame, docs: DataFrame, similarity: f
     places = materialize(forms.join(small(wanted), "id", "left_semi").select("id", "doc", "line"), "places")
     ids = materialize(places.select(F.col("doc").alias(id_col)).distinct(), "ids")
     texts = _lines(docs.join(small(ids), id_col, "left_semi"), id_col, text_col)
-    texts = materialize(texts.join(places, ["doc", "line"]).groupBy("id").agg(F.max("form").alias("form")), "texts")
+    texts = texts.join(small(places), ["doc", "line"]).groupBy("id").agg(F.max("text").alias("text"))
+    texts = materialize(texts.select("id", normal_form(F.col("text")).alias("form")), "texts")
     side = lambda x: texts.select(F.col("id").alias(x), F.col("form").alias(f"form_{x}"))
     # rows are few bytes and much work: deal them by number, or they would be put together by size
     both = pairs.join(side("a"), "a").repartition(max(1, pairs.count() // PAIRS), "b").join(side("b"), "b")
@@ -162,6 +185,9 @@ def _verified(pairs: DataFrame, forms: DataFrame, docs: DataFrame, similarity: f
     pieces = [F.expr(f"transform(sequence(0, length(mid_{x}) div {PIECE}), i -> substring(mid_{x}, i * {PIECE} + 1, {PIECE}))") for x in "ab"]
     by_piece = F.zip_with(*pieces, lambda x, y: F.levenshtein(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
     near = F.when(whole <= F.col("most"), True).when(by_word <= F.col("most"), True)
+    # most lines that are near are so by far, and a narrow band tells it soon
+    for part in (16, 4):
+        near = near.when(F.expr(f"levenshtein(mid_a, mid_b, most div {part}) >= 0"), True)
     near = near.when((whole > PIECEWISE) & (total(by_piece) <= F.col("most")), True)
     near = near.when(F.expr("levenshtein(mid_a, mid_b, most) >= 0"), True)
     tried = materialize(both.select("a", "b", near.otherwise(False).alias("near")), "tried")
@@ -173,8 +199,9 @@ def line_groups(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """(lines, kept): lines with a word (doc, line, h, g); for each form (h, g) of several lines its group's first place."""
-    lines = simhashes(_lines(docs, id_col, text_col))
-    forms = lines.groupBy("h", "g").agg(
+    lines = _lines(docs, id_col, text_col).select("doc", "line", normal_form(F.col("text")).alias("form"))
+    lines = simhashes(lines)  # a line without a word has an empty form
+    forms = lines.groupBy("h", "g", "short").agg(
         F.min(F.struct("doc", "line")).alias("at"),
         F.count("*").alias("n"),
         F.max("sim").alias("sim"),
@@ -182,7 +209,7 @@ def line_groups(
         *[F.max(m).alias(m) for m in _LEAST],
     )
     forms = materialize(
-        forms.select(F.monotonically_increasing_id().alias("id"), "h", "g", "at.doc", "at.line", "n", "sim", "chars", *_LEAST), "forms"
+        forms.select(F.monotonically_increasing_id().alias("id"), "h", "g", "at.doc", "at.line", "n", "sim", "chars", "short", *_LEAST), "forms"
     )
     block = _blocks("sim")
     keys = []
@@ -194,7 +221,9 @@ def line_groups(
     for n, (a, b) in enumerate(combinations(_LEAST, 2)):  # below 0, and keys of blocks are above
         keys.append(F.xxhash64(F.lit(n), a, b).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
     # one shuffle of (key, id); counts and the join that follow find it dealt by key
-    keyed = forms.select("id", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    of_short = F.transform(_without_one(F.col("short"), similarity), lambda k: k.bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+    keys = F.concat(F.array(*keys), F.coalesce(of_short, F.array().cast("array<bigint>")))
+    keyed = forms.select("id", F.explode(keys).alias("key")).repartition("key")
     # few keys have several forms, so those are hashed and the many rows of keyed needn't be sorted
     met = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", "lead")
     meetings = materialize(keyed.join(met.hint("shuffle_hash"), "key"), "meetings")
