@@ -452,6 +452,24 @@ def test_majority_of_hashes(spark):
         assert r.sim & (2**64 - 1) == expected and r.chars == len(rows[r.doc][2])
 
 
+def test_normal_forms_are_computed_once(spark, monkeypatch):
+    """Spark tests the size of an array below an inner explode; of one that is computed there, it is made twice."""
+    plans = []
+
+    def noted(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    docs = docs_of(spark, [(1, "alpha beta\n\ngamma delta", "a"), (2, None, "a"), (3, "", "a"), (None, "alpha", "a")])
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    assert sorted((r.doc, r.line, r.text) for r in lines.collect()) == [(1, 0, "alpha beta"), (1, 1, ""), (1, 2, "gamma delta"), (3, 0, "")]
+    forms = line_dedup.simhashes(lines.select("doc", "line", line_dedup.normal_form(F.col("text")).alias("form")))
+    assert sorted((r.doc, r.line) for r in forms.collect()) == [(1, 0), (1, 2)]
+    plan = dict(plans)["chunks"]
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(text") == 1
+
+
 def test_fuzzy_lines(spark):
     long = letters(200, 1)
     near = [*long]

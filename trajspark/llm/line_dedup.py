@@ -51,15 +51,19 @@ _LEAST = [f"m{k}" for k in range(LEAST)]
 
 def normal_form(line: Column) -> Column:
     """Runs of ASCII letters and other characters beyond ASCII, in lower case, with single blanks."""
-    between = r"[\x00-\x60\x7B-\x7F]{2,}|[\x00-\x1F\x21-\x60\x7B-\x7F]"  # all but single blanks, which stay
+    between = r"[\x00-\x60\x7B-\x7F]+"  # one class: a pattern of two alternatives that leaves single blanks alone takes longer
     return F.trim(F.regexp_replace(F.lower(line), between, " "))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, text) of all lines."""
+    """(doc, line, text) of all lines.
+
+    Explodes of computed arrays are outer ones here and below, and what they add is taken out again: below an inner one
+    Spark puts a test of the array's size, and computes the array once more for it.
+    """
     return docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line", "text")
-    )
+        F.col(id_col).cast("long").alias("doc"), F.posexplode_outer(F.split(text_col, "\n")).alias("line", "text")
+    ).where("line is not null")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
@@ -80,9 +84,8 @@ def simhashes(lines: DataFrame) -> DataFrame:
         F.when(F.length("form") <= SHORT, F.col("form")).alias("short"),
         F.split("form", " ").alias("words"),
     )
-    pairs = split.select(
-        "doc", "line", "h", "g", "chars", "short", "words", F.posexplode("words").alias("at", "word")
-    ).where("word <> ''").select(  # a form without words is one empty word
+    words = split.select("doc", "line", "h", "g", "chars", "short", "words", F.posexplode_outer("words").alias("at", "word"))
+    pairs = words.where("word <> ''").select(  # a form without words is one empty word
         "doc", "line", "h", "g", "chars", "short",
         F.expr(f"int(at div {CHUNK})").alias("chunk"),
         F.expr("xxhash64(word, get(words, at + 1))").alias("pair"),
@@ -223,7 +226,7 @@ def line_groups(
     # one shuffle of (key, id); counts and the join that follow find it dealt by key
     of_short = F.transform(_without_one(F.col("short"), similarity), lambda k: k.bitwiseOR(F.lit(-(1 << 63)).cast("long")))
     keys = F.concat(F.array(*keys), F.coalesce(of_short, F.array().cast("array<bigint>")))
-    keyed = forms.select("id", F.explode(keys).alias("key")).repartition("key")
+    keyed = forms.select("id", F.explode_outer(keys).alias("key")).repartition("key")
     # few keys have several forms, so those are hashed and the many rows of keyed needn't be sorted
     met = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).where("k > 1").select("key", "lead")
     meetings = materialize(keyed.join(met.hint("shuffle_hash"), "key"), "meetings")
